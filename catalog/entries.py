@@ -160,7 +160,7 @@ def parse_responses(spark, sf):
         F.struct(F.struct(F.array(item).alias("list"), F.struct(F.lit("第二条").alias("title")).alias("more")).alias("result"))
     )
     body = (
-        F.when(F.col("event_type") == "purchase", F.concat(F.lit("cb("), payload))
+        F.when(F.col("event_type") == "purchase", F.concat(F.lit("cb("), payload, F.lit(",)")))
         .when(F.col("event_type") == "click", payload)
         .otherwise(F.concat(F.lit(" jQuery_1("), payload, F.lit(");")))
     )
@@ -1148,7 +1148,7 @@ def macro_first_wins(spark, sf):
     """How often each macro rule names a sector, and how often it is the first to do so."""
     folded = text.fold(F.concat_ws(" ", "title", "content"))
     hits = text.let(folded, lambda t: score.words_in(t, LEXICON.vocabulary()))
-    found = news(spark, sf).select("row_id", score.macro_hits(hits, LEXICON.macro).alias("macro"))
+    found = schema.evaluate_once(news(spark, sf), macro=score.macro_hits(hits, LEXICON.macro))
     named = found.select(
         F.explode("macro").alias("m"),
         F.flatten(F.transform("macro", lambda r: r["sectors"])).alias("named"),

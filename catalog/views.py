@@ -15,8 +15,15 @@ EVENT_SOURCES = ["src0", "src5", "src10", "src15"]
 _EVENTS_SQL = "(" + ", ".join(f"'{s}'" for s in EVENT_SOURCES) + ")"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out an input of fewer splits than cores (a small single file); larger inputs, which
+    come in enough splits by themselves, are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,16 +42,30 @@ def _fold_json() -> str:
     return json.dumps({c: c.casefold() for c in chars if c.lower() == c != c.casefold()})
 
 
+def _char_class(codes: list[int], gap: int) -> str:
+    """Regex class over the codes; codes at most ``gap`` apart share a range."""
+    ranges: list[list[int]] = []
+    for code in sorted(codes):
+        if ranges and code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
 def fold(column: Column) -> Column:
     """Case folding: lower(), plus the few characters (such as ß) that fold further."""
     further = _json_map(_fold_json())
-    specials = "[" + "".join(json.loads(_fold_json())) + "]"
+    codes = [ord(c) for c in json.loads(_fold_json())]
+    # A class of few ranges, free of common accents, decides for nearly all texts.
+    near, exact = _char_class(codes, 0x69), f"({_char_class(codes, 1)})"
 
     def finish(lowered: Column) -> Column:
-        chars = F.transform(
-            F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(further, c), c)
+        found = F.array_distinct(F.regexp_extract_all(lowered, F.lit(exact), F.lit(1)))
+        replaced = F.aggregate(
+            found, lowered, lambda text, c: F.replace(text, c, F.element_at(further, c))
         )
-        return F.when(lowered.rlike(specials), F.array_join(chars, "")).otherwise(lowered)
+        return F.when(lowered.rlike(near), replaced).otherwise(lowered)
 
     return let(F.lower(column), finish)
 
@@ -150,7 +164,12 @@ def unescape(column: Column) -> Column:
     """HTML character references to characters; text without '&' is passed through untouched."""
 
     def decode(part: Column) -> Column:
-        return F.when(part.rlike(_ENTITY_NUMBER), _decode_number(part)).otherwise(_decode_name(part))
+        plain = F.concat(F.lit("&"), part)
+        return (
+            F.when(part.rlike("^[A-Za-z][A-Za-z0-9]"), _decode_name(part))
+            .when(part.rlike(_ENTITY_NUMBER), _decode_number(part))
+            .otherwise(plain)
+        )
 
     def decode_all(parts: Column) -> Column:
         tail = F.transform(F.slice(parts, F.lit(2), F.size(parts)), decode)

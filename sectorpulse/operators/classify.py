@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sectorpulse.functions.text import fold, let, strip
 from sectorpulse.rules import defaults
 from sectorpulse.rules.tables import RuleSet
+from sectorpulse.schema import evaluate_once
 
 RESULT = "classification"
 
@@ -94,7 +95,7 @@ def classify(
 ) -> DataFrame:
     """Add the ``classification`` record for each row's own category."""
     record = classification(field_texts(df, display_shape), category, rules.rules_of(category))
-    return df.withColumn(RESULT, record)
+    return evaluate_once(df, **{RESULT: record})
 
 
 def classify_all(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -122,7 +123,7 @@ def rule_scores(df: DataFrame, rules: RuleSet, category: str) -> DataFrame:
         F.col("c")["category"].alias(category), F.explode(F.col("c")["rules"]).alias("rule")
     )
     joined = df.join(F.broadcast(table), category)
-    return joined.withColumn("hit", let(field_texts(df), lambda t: rule_hit(t, F.col("rule"))))
+    return evaluate_once(joined, hit=let(field_texts(df), lambda t: rule_hit(t, F.col("rule"))))
 
 
 def keep_matched(df: DataFrame, rules: RuleSet, category: Column) -> DataFrame:

@@ -64,13 +64,14 @@ def ranked_rows(
     scope = F.concat_ws("\x1f", *partition_by) if partition_by else F.lit("")
     keys = {f"k_{name}": _key(scope, name, value) for name, value in exact.items()}
     title_text = F.lit(None).cast("string") if title is None else title
-    prepared = df.select(
+    # Kept before the sort: a range sort reads its input twice, and texts are costly to normalise.
+    prepared = cut_lineage(df.select(
         ROW_ID,
         scope.alias("p"),
         *[c.alias(f"o_{i}") for i, c in enumerate(order_by)],
         *[c.alias(n) for n, c in keys.items()],
         F.nullif(title_text, F.lit("")).alias("title"),
-    )
+    ))
     descending = [F.col(f"o_{i}").desc_nulls_last() for i in range(len(order_by))]
     ordered = prepared.orderBy(*descending, ROW_ID)
     return cut_lineage(
@@ -190,6 +191,7 @@ def select_leaders(
                 F.first("p").alias("p"),
                 F.first("title").alias("title"),
                 F.min("rank").alias("first_rank"),
+                F.max("rank").alias("last_rank"),
             )
         )
         posts = {kind: postings(titles, kind, similarity) for kind in similarity.kinds()}

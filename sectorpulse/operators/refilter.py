@@ -11,7 +11,7 @@ from sectorpulse.functions.text import let, strip
 from sectorpulse.operators.classify import RESULT, classification, field_texts
 from sectorpulse.operators.verdicts import apply_verdicts
 from sectorpulse.rules.tables import RuleSet, Sector, risk_family
-from sectorpulse.schema import is_event
+from sectorpulse.schema import evaluate_once, is_event
 
 
 def marked(
@@ -32,16 +32,10 @@ def marked(
         families.rules_of(F.col("_family"))
     )
     ruled = F.when(is_event(), F.lit(True)).otherwise(F.col("_family").isin(list(families.categories)))
-    known = F.when(is_event(), events.knows(F.col("name"))).otherwise(True)
+    known = F.coalesce(F.when(is_event(), events.knows(F.col("name"))).otherwise(True), F.lit(False))
     record = let(field_texts(df), lambda t: classification(t, F.col("name"), rules))
-    return named.select(
-        *df.columns,
-        "scope",
-        "name",
-        F.coalesce(ruled, F.lit(False)).alias("ruled"),
-        F.coalesce(known, F.lit(False)).alias("known"),
-        record.alias(RESULT),
-    )
+    judged = evaluate_once(named, ruled=F.coalesce(ruled, F.lit(False)), known=known, **{RESULT: record})
+    return judged.drop("_family")
 
 
 def refilter(

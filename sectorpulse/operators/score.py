@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sectorpulse.functions.text import fold, fold_word, let, strip
 from sectorpulse.rules import defaults
-from sectorpulse.schema import UNMAPPED, is_event
+from sectorpulse.schema import UNMAPPED, evaluate_once, is_event
 
 ANALYSIS = "analysis"
 
@@ -31,7 +31,7 @@ class Lexicon:
     def vocabulary(self) -> list[str]:
         """Every distinct folded word; each is searched for once per text."""
         words = [*self.positive, *self.negative]
-        words += [w for name in ("high", "medium", "policy", "industry", "stock_move") for w in self.words[name]]
+        words += [w for listed in self.words.values() for w in listed]
         words += [w for _, keywords, co, _ in self.macro for w in [*keywords, *co]]
         return list(dict.fromkeys(fold_word(w) for w in words))
 
@@ -189,31 +189,29 @@ def analyse(df: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
         )
     )
     columns = list(df.columns)
-    found = df.withColumn("_hits", let(text, lambda t: words_in(t, lexicon.vocabulary())))
+    found = let(text, lambda t: words_in(t, lexicon.vocabulary()))
+    parts = evaluate_once(df, _hits=found)
     hits = F.col("_hits")
-    parts = found.withColumns(
-        {
-            "_pos": signals(hits, lexicon.positive),
-            "_neg": signals(hits, lexicon.negative),
-            "_macro": macro_hits(hits, lexicon.macro),
-            "_sectors": target_sectors(),
-        }
+    parts = evaluate_once(
+        parts,
+        _pos=signals(hits, lexicon.positive),
+        _neg=signals(hits, lexicon.negative),
+        _macro=macro_hits(hits, lexicon.macro),
     )
     pos, neg, macro = F.col("_pos"), F.col("_neg"), F.col("_macro")
-    parts = parts.withColumn("_generic", generic_direction(pos, neg))
-    parts = parts.withColumn("_assessed", assess_sectors(F.col("_sectors"), macro, F.col("_generic")))
+    parts = evaluate_once(parts, _generic=generic_direction(pos, neg))
+    generic = F.col("_generic")
+    parts = evaluate_once(parts, _assessed=assess_sectors(target_sectors(), macro, generic))
     count = F.size(pos) + F.size(neg) + 2 * F.size(macro)
-    macro_hit = F.size(macro) > 0
-    strong = macro_hit | (F.abs(total_weight(pos) - total_weight(neg)) >= 2.0)
-    parts = parts.withColumns(
-        {
-            "_overall": overall(F.col("_assessed"), F.col("_generic")),
-            "_confidence": F.least(F.lit(90), 20 + 20 * count).cast("int"),
-            "_impact": F.when(_has_any(hits, lexicon.words["high"]), "high")
-            .when(strong | _has_any(hits, lexicon.words["medium"]), "medium")
-            .otherwise("low"),
-            "_category": news_category(hits, lexicon),
-        }
+    strong = (F.size(macro) > 0) | (F.abs(total_weight(pos) - total_weight(neg)) >= 2.0)
+    parts = evaluate_once(
+        parts,
+        _overall=overall(F.col("_assessed"), generic),
+        _confidence=F.least(F.lit(90), 20 + 20 * count).cast("int"),
+        _impact=F.when(_has_any(hits, lexicon.words["high"]), "high")
+        .when(strong | _has_any(hits, lexicon.words["medium"]), "medium")
+        .otherwise("low"),
+        _category=news_category(hits, lexicon),
     )
     verdict, confidence = F.col("_overall"), F.col("_confidence")
     unsure = (verdict["sentiment"] != "neutral") & (confidence < defaults.LOW_CONFIDENCE)

@@ -15,20 +15,24 @@ list.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sectorpulse.functions.text import bigram_set, jaccard
+from sectorpulse.functions.text import bigram_set
 from sectorpulse.rules import defaults
 from sectorpulse.session import cut_lineage
 
 FREQUENT_PIECES = 50_000
 BLOCK_ROWS = 4096
+SLOTS = 64
 _EPS = 1e-9
 
 
@@ -67,7 +71,7 @@ def numbered_pieces(titles: pd.Series) -> pd.Series:
 
 
 def features(titles: DataFrame) -> DataFrame:
-    """Distinct titles (tk, p, title, first_rank) with both kinds of pieces."""
+    """Distinct titles (tk, p, title, first_rank, last_rank) with both kinds of pieces."""
     return cut_lineage(
         titles.withColumns(
             {
@@ -197,21 +201,62 @@ def _meet(left: DataFrame, right: DataFrame, within: bool, kind: str, similarity
     )
 
 
-def _ratio_test(threshold: float):
-    @F.pandas_udf(T.BooleanType())
-    def reaches(kept: pd.Series, new: pd.Series) -> pd.Series:
-        """Matching-blocks ratio; argument order matters. Cheap upper bounds come first."""
+def _reaches(matcher: SequenceMatcher, threshold: float) -> bool:
+    """Does the matching-blocks ratio reach the threshold? Stops once it no longer can."""
+    a, b = matcher.a, matcher.b
+    total = len(a) + len(b)
+    matched, possible, open_parts = 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    while open_parts:
+        a_low, a_high, b_low, b_high = part = open_parts.pop()
+        possible -= min(a_high - a_low, b_high - b_low)
+        i, j, size = matcher.find_longest_match(*part)
+        if size:
+            rest = ((a_low, i, b_low, j), (i + size, a_high, j + size, b_high))
+            open_parts += [r for r in rest if r[0] < r[1] and r[2] < r[3]]
+            matched += size
+            possible += sum(min(r[1] - r[0], r[3] - r[2]) for r in rest)
+        if 2.0 * (matched + possible) / total < threshold:
+            return False
+    return 2.0 * matched / total >= threshold
+
+
+def _comparison(similarity: Similarity):
+    """Arrow-batched test of candidate pairs, per direction asked for.
+
+    Cheapest first: shared pieces, then the ratio. Piece counts of recent titles are remembered.
+    """
+    result = T.StructType(
+        [T.StructField("forward", T.BooleanType()), T.StructField("backward", T.BooleanType())]
+    )
 
-        def test(a, b) -> bool:
-            if a is None or b is None:
-                return False
-            matcher = SequenceMatcher(None, a, b)
-            bounds = (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio)
-            return all(bound() >= threshold for bound in bounds)
+    @F.pandas_udf(result)
+    def compare(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        @lru_cache(maxsize=20_000)
+        def pieces(title: str) -> Counter:
+            return Counter(map("".join, zip(title, title[1:]))) or Counter([title])
+
+        def directions(a: str, b: str, forward: bool, backward: bool) -> tuple[bool, bool]:
+            x, y = pieces(a), pieces(b)
+            overlap = len(x.keys() & y.keys()) / len(x.keys() | y.keys())
+            if similarity.jaccard is not None and overlap >= similarity.jaccard:
+                return forward, backward
+            if similarity.ratio is None or overlap < similarity.ratio_jaccard:
+                return False, False
+            total, ratio = len(a) + len(b), similarity.ratio
+            shared = sum(min(n, y[piece]) for piece, n in x.items() if piece in y)
+            if 2 * min(len(a), len(b)) < ratio * total or shared < (1.5 * ratio - 1) * total - 1 - _EPS:
+                return False, False
+            # Argument order matters: the kept title first, the new one second.
+            return (
+                forward and _reaches(SequenceMatcher(None, a, b), ratio),
+                backward and _reaches(SequenceMatcher(None, b, a), ratio),
+            )
 
-        return pd.Series([test(a, b) for a, b in zip(kept, new)], dtype=bool)
+        for columns in batches:
+            found = [directions(*row) for row in zip(*columns)]
+            yield pd.DataFrame(found, columns=["forward", "backward"])
 
-    return reaches
+    return compare
 
 
 def similar_edges(
@@ -237,42 +282,23 @@ def similar_edges(
         found = found.distinct()
 
     def described(name: str) -> DataFrame:
-        keep = ("tk", "title", "chars", "ratio_pieces", "jaccard_pieces")
+        keep = ("tk", "title", "first_rank", "last_rank")
         return titles.select(*[F.col(c).alias(f"{name}_{c}") for c in keep])
 
     pairs = found.join(described("a"), "a_tk").join(described("b"), "b_tk")
-    ratio = F.lit(False)
-    close = F.lit(False)
-    if similarity.ratio is not None:
-        shared = F.size(F.array_intersect("a_ratio_pieces", "b_ratio_pieces"))
-        ratio = _lengths_fit("ratio", similarity, "a", "b") & (
-            shared >= _required("ratio", similarity, "a", "b")
-        )
-    if similarity.jaccard is not None or similarity.ratio_jaccard > 0:
-        overlap = jaccard(F.col("a_jaccard_pieces"), F.col("b_jaccard_pieces"))
-        pairs = pairs.withColumn("overlap", overlap)
-        ratio = ratio & (F.col("overlap") >= similarity.ratio_jaccard)
-        if similarity.jaccard is not None:
-            close = F.col("overlap") >= similarity.jaccard
-    pairs = pairs.select(
-        "a_tk", "b_tk", "a_title", "b_title", close.alias("close"), (ratio & ~close).alias("ask")
-    ).filter(F.col("close") | F.col("ask"))
-    a_title, b_title = F.when(F.col("ask"), F.col("a_title")), F.col("b_title")
-    if similarity.ratio is None:
-        forward = backward = F.lit(False)
-    else:
-        reaches = _ratio_test(similarity.ratio)
-        forward = reaches(a_title, b_title)
-        backward = reaches(F.when(F.col("ask"), F.col("b_title")), F.col("a_title"))
-    directions = [
-        F.when(F.col("close") | forward, F.struct(F.col("a_tk").alias("src"), F.col("b_tk").alias("dst")))
-    ]
-    if within:
-        directions.append(
-            F.when(
-                F.col("close") | backward,
-                F.struct(F.col("b_tk").alias("src"), F.col("a_tk").alias("dst")),
-            )
-        )
-    edges = pairs.select(F.explode(F.array_compact(F.array(*directions))).alias("e"))
+    # A title can only take another one that shows up after it.
+    forward = F.col("a_first_rank") < F.col("b_last_rank")
+    backward = F.lit(within) & (F.col("b_first_rank") < F.col("a_last_rank"))
+    # A pair is small but takes long to compare, so pairs are shared out by number; one title's
+    # pairs stay together as far as that leaves no task with too many.
+    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64("b_tk"), F.lit(SLOTS))
+    pairs = pairs.withColumn("slot", slot).repartition(tasks, "a_tk", "slot")
+    compared = pairs.select(
+        "a_tk", "b_tk", _comparison(similarity)("a_title", "b_title", forward, backward).alias("hit")
+    )
+    a_to_b = F.struct(F.col("a_tk").alias("src"), F.col("b_tk").alias("dst"))
+    b_to_a = F.struct(F.col("b_tk").alias("src"), F.col("a_tk").alias("dst"))
+    directions = [F.when(F.col("hit.forward"), a_to_b), F.when(F.col("hit.backward"), b_to_a)]
+    edges = compared.select(F.explode(F.array_compact(F.array(*directions))).alias("e"))
     return cut_lineage(edges.select("e.src", "e.dst"))

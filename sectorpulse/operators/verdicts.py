@@ -17,7 +17,7 @@ from sectorpulse.functions.ids import validation_key
 from sectorpulse.functions.text import WHITESPACE
 from sectorpulse.operators.classify import RESULT
 from sectorpulse.rules import defaults
-from sectorpulse.schema import ROW_ID
+from sectorpulse.schema import ROW_ID, evaluate_once
 
 VERDICT_SCHEMA = "validation_key string, raw string, error string"
 # How much of each field a request shows.
@@ -114,9 +114,8 @@ def apply_verdicts(
     settled = df.filter(exempt | (matched & ~needs_verdict()))
     doubtful = with_key(df.filter(~exempt & matched & needs_verdict()), **versions)
     known = verdicts.groupBy("validation_key").agg(F.max("raw").alias("raw"))
-    answered = doubtful.join(known, "validation_key", "left").withColumn(
-        "_verdict", parse_verdict(F.col("raw"))
-    )
+    answered = doubtful.join(known, "validation_key", "left")
+    answered = evaluate_once(answered, _verdict=parse_verdict(F.col("raw")))
     verdict = F.col("_verdict")
     agrees = verdict["should_keep"] & (
         (verdict["category"] == "") | (verdict["category"] == F.col(RESULT)["category"])

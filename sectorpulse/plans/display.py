@@ -10,6 +10,7 @@ from sectorpulse.operators.aggregates import metadata
 from sectorpulse.operators.dedupe import dedupe_news
 from sectorpulse.operators.score import Lexicon, analyse
 from sectorpulse.plans.refresh import Config
+from sectorpulse.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,6 @@ class Display:
 
 
 def display(stored: DataFrame, config: Config, lexicon: Lexicon | None = None) -> Display:
-    held = config.refilter(stored)
+    held = cut_lineage(config.refilter(stored))
     rows = analyse(dedupe_news(held, config.fuzzy, keep_fragment=config.keep_fragment), lexicon)
     return Display(rows, metadata(held))

@@ -117,3 +117,13 @@ def combine(*frames: DataFrame) -> DataFrame:
     for frame in repaired[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)
     return result
+
+
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and projections use without computing them again.
+
+    Spark moves filters below projections by repeating the projected expression. Values that come
+    out of a generator stay where they are, and one row in gives one row out.
+    """
+    record = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(record)))
