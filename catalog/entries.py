@@ -25,11 +25,11 @@ from sectorpulse.operators import (
     score,
     verdicts,
 )
-from sectorpulse.operators.similar import SAME_EVENT, Similarity
+from sectorpulse.operators.similar import Similarity
 from sectorpulse.plans import display as display_plan
 from sectorpulse.plans import refresh
 from sectorpulse.rules import defaults
-from sectorpulse.rules.tables import groups_df, sectors_df
+from sectorpulse.rules.tables import groups_df, risk_family
 from sectorpulse.sinks import snapshot
 from sectorpulse.sources import fanout, feeds, search
 
@@ -468,8 +468,6 @@ def high_risk_rules(spark, sf):
     source = F.col("source")
     rule_id = F.when(source == "src1", "Apple_Supply_Chain").when(source == "src2", "vision-pro").when(source == "src3", "nope").otherwise("")
     sector = F.when(source == "src3", "苹果产业链").when(source == "src4", "美联储／利率").when(source == "src6", "Vision Pro").otherwise(source)
-    from sectorpulse.rules.tables import risk_family
-
     return (
         table(spark, sf, "documents")
         .groupBy("source", "lang", risk_family(sector, rule_id).alias("family"))
@@ -1008,7 +1006,7 @@ def keyword_lists(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_keywords(F.col("text")), "|").alias("parts"))
 
 
-@query(S.with_news() + f"SELECT row_id, {S.fold('title')} AS title, '' AS summary, {S.fold(S.clean('content')) if False else S.fold('content')} AS content FROM (SELECT row_id, regexp_replace(title, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS title, regexp_replace(content, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS content FROM news)")
+@query(S.with_news() + f"SELECT row_id, {S.fold('title')} AS title, '' AS summary, {S.fold('content')} AS content FROM (SELECT row_id, regexp_replace(title, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS title, regexp_replace(content, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS content FROM news)")
 def field_texts(spark, sf):
     rows = news(spark, sf)
     return rows.select("row_id", classify.field_texts(rows).alias("t")).select("row_id", "t.*")
@@ -1234,10 +1232,6 @@ def verdict_filter(spark, sf):
 
 # --- plans ---------------------------------------------------------------------------------------
 
-EXACT = refresh.Config(SECTORS, EVENTS, MAPPING, fuzzy=False)
-FUZZY = refresh.Config(SECTORS, EVENTS, MAPPING)
-
-
 def _config(fuzzy: bool) -> refresh.Config:
     return _TestConfig(SECTORS, EVENTS, MAPPING, fuzzy=fuzzy)
 
@@ -1319,5 +1313,3 @@ def display_exact(spark, sf):
 def display_fuzzy(spark, sf):
     return _flat_analysis(display_plan.display(news(spark, sf), _config(True), LEXICON).rows)
 
-
-_ = (SAME_EVENT, sectors_df)

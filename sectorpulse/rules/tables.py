@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorpulse.functions.text import fold_word
+from sectorpulse.functions.text import fold, fold_word, strip
 from sectorpulse.rules import defaults
 
 RULE_TYPE = (
@@ -236,8 +236,6 @@ def groups_df(spark: SparkSession) -> DataFrame:
 
 
 def _risk_key(column: Column) -> Column:
-    from sectorpulse.functions.text import fold, strip
-
     return F.replace(F.replace(fold(strip(column)), F.lit(" "), F.lit("")), F.lit("／"), F.lit("/"))
 
 

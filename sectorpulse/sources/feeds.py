@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sectorpulse.functions.ids import stream_link
-from sectorpulse.functions.text import fold, fold_word
+from sectorpulse.functions.text import fold, fold_word, let
 from sectorpulse.operators.score import words_in
 from sectorpulse.rules import defaults
 from sectorpulse.sources.search import CONTENT_NAMES, TIME_NAMES, TITLE_NAMES, cleaned
@@ -98,8 +98,6 @@ def match_keywords(df: DataFrame, keywords: list[str]) -> DataFrame:
     if len(folded) > AUTOMATON_FROM:
         found = _automaton_words(folded)(text)
     else:
-        from sectorpulse.functions.text import let
-
         found = let(text, lambda t: words_in(t, folded))
     spelled: dict[str, list[str]] = {}
     for word in words:

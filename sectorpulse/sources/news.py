@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorpulse.functions.text import clean_text, link_key, text_key, title_key
-from sectorpulse.schema import NEWS_COLUMNS, NEWS_SCHEMA, repair
+from sectorpulse.schema import NEWS_SCHEMA, repair
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +16,3 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return repair(spark.read.parquet(path))
-
-
-__all__ = ["read_csv", "read_parquet", "NEWS_COLUMNS", "clean_text", "link_key", "text_key", "title_key"]

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from sectorpulse.functions.text import link_key
 from sectorpulse.operators.increments import append_history
-from sectorpulse.operators.rankings import alert_batch
+from sectorpulse.operators.rankings import alert_batch, by_importance
 from sectorpulse.operators.score import Lexicon, analyse
 from sectorpulse.plans.refresh import RETENTION_DAYS, Config, incremental_refresh
 from sectorpulse.schema import NEWS_SCHEMA, ROW_ID, repair
@@ -107,7 +107,7 @@ def alerts(
         delivered = not sent.isEmpty() and (deliver is None or deliver(sent))
         if delivered:
             # At most a handful of rows, in alert order.
-            order = sent.orderBy(F.col("analysis")["importance"].desc(), ROW_ID)
+            order = sent.orderBy(*by_importance())
             numbered = order.withColumn("seq", F.monotonically_increasing_id())
             history.publish(append_history(known, numbered), version)
 
