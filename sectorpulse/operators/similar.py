@@ -231,7 +231,7 @@ def _comparison(similarity: Similarity):
 
     @F.pandas_udf(result)
     def compare(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        @lru_cache(maxsize=20_000)
+        @lru_cache(maxsize=4096)
         def pieces(title: str) -> Counter:
             return Counter(map("".join, zip(title, title[1:]))) or Counter([title])
 
