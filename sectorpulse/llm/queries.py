@@ -7,13 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorpulse.llm import exact_dedup
+from sectorpulse.llm import exact_dedup, packing, token_counts, token_store
+from sectorpulse.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """The public vocabularies' place is a parameter; here it is that of the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    docs = _table(spark, sf_dir, "documents")
+    token_store.write(docs, folder, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return token_store.read(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return counts.withColumnRenamed("id", "doc_id")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = exact_dedup.mark(_table(spark, sf_dir, "documents"))
     return marks.select(
@@ -22,5 +47,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
+    "op4_token_counts": op4_token_counts,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
