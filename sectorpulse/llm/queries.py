@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorpulse.llm import exact_dedup, packing, token_counts, token_store
+from sectorpulse.llm import exact_dedup, near_join, packing, token_counts, token_store
 from sectorpulse.llm.common import shared_folder
 
 
@@ -39,6 +39,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = near_join.join(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
+    return joined.withColumnRenamed("id", "doc_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = exact_dedup.mark(_table(spark, sf_dir, "documents"))
     return marks.select(
@@ -50,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
