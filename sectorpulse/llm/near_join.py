@@ -26,7 +26,8 @@ within one pair of texts. Classes have 64-bit names as well.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and keep their own id;
 a text with fewer words than a shingle is one shingle; an empty table gives an empty result; rows that
-repeat an id share its component; other columns are ignored.
+repeat an id, or whose id is null, are compared by their own texts; a null id never names a component
+that has another one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -205,10 +206,29 @@ def _compared(size: int, percent: int) -> Callable:
     return compare
 
 
-def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with their class, for the representatives in ``ids`` (id, class)."""
+def _classed(size: int) -> Callable:
+    def classed(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [_class(shingles(text.as_py(), size)) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), batch.column("text"), batch.column("wanted")], ["class", "text", "wanted"]
+            )
+
+    return classed
+
+
+def _pick(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(class, text) of one row for each class of ``ids`` (id, class)."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "id")
+    wanted = ids.where("id IS NOT NULL").withColumnRenamed("class", "wanted")
+    found = docs.join(F.broadcast(wanted) if small else wanted, "id").select("text", "wanted")
+    # Where rows repeat an id, only those with the class's own set count.
+    found = found.mapInArrow(_classed(size), "class long, text string, wanted long").where("class = wanted")
+    # Rows without an id are found by their class.
+    nameless = docs.where("id IS NULL").select("text", F.lit(0).cast("long").alias("wanted"))
+    nameless = nameless.mapInArrow(_classed(size), "class long, text string, wanted long")
+    nameless = nameless.join(ids.where("id IS NULL").select("class"), "class", "left_semi")
+    return found.select("class", "text").union(nameless.select("class", "text")).dropDuplicates(["class"])
 
 
 def _within(a: str, b: str, percent: int) -> Column:
@@ -231,7 +251,6 @@ def join(
     described = written(texts.mapInArrow(_described(shingle), CLASSES), "near-classes")
     known = described.where("n > 0")
     classes = known.groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
-    classes = classes.where("id IS NOT NULL")
 
     signatures = texts.mapInArrow(_signed(shingle, percent), "sig long, class long")
     bucket = Window.partitionBy("sig")
@@ -246,8 +265,7 @@ def join(
         """The pairs (a, b) of classes that have a link, by their whole texts."""
         pairs = written(pairs, "near-pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        chosen = _pick(texts, classes.select("id", "class").join(needed, "class")).dropDuplicates(["class"])
-        chosen = written(chosen.select("class", "text"), "near-texts")
+        chosen = written(_pick(texts, classes.select("id", "class").join(needed, "class"), shingle), "near-texts")
         held = pairs.join(chosen.toDF("a", "left"), "a").join(chosen.toDF("b", "right"), "b")
         return written(held.select("a", "b", "left", "right").mapInArrow(_compared(shingle, percent), "a long, b long"), "near-links")
 
@@ -292,7 +310,7 @@ def join(
 def keep_one(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
+    """The rows of ``docs`` whose id is the smallest of its component. Rows without an id stay."""
     joined = join(docs, shingle, percent, id_column, text_column)
     others = joined.where("id != component_id").select(F.col("id").alias(id_column)).distinct()
     return docs.join(others, id_column, "left_anti").select(*docs.columns)
