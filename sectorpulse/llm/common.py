@@ -43,6 +43,17 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Keys (whole numbers) that are broadcast at most, some 50 MB; beyond, a join shuffles both sides.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The ``rows`` whose ``column`` is not among the distinct ``keys``."""
+    keys = written(keys, "keys")
+    small = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if small else keys, column, "left_anti")
+
+
 class Memo(dict):
     """A bounded memo of a pure function; frequent keys come early, so the first ones stay."""
 

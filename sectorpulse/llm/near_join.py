@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import Memo, text_or_empty, written
+from sectorpulse.llm.common import Memo, text_or_empty, without, written
 from sectorpulse.llm.components import components
 
 SHINGLE = 5
@@ -313,4 +313,4 @@ def keep_one(
     """The rows of ``docs`` whose id is the smallest of its component. Rows without an id stay."""
     joined = join(docs, shingle, percent, id_column, text_column)
     others = joined.where("id != component_id").select(F.col("id").alias(id_column)).distinct()
-    return docs.join(others, id_column, "left_anti").select(*docs.columns)
+    return without(docs, others, id_column).select(*docs.columns)

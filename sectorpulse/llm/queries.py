@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorpulse.llm import exact_dedup, near_join, packing, token_counts, token_store
+from sectorpulse.llm import decontaminate, exact_dedup, near_join, packing, token_counts, token_store
 from sectorpulse.llm.common import shared_folder
 
 
@@ -44,6 +44,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumnRenamed("id", "doc_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return marked.drop("segment", "place").withColumnRenamed("id", "doc_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = exact_dedup.mark(_table(spark, sf_dir, "documents"))
     return marks.select(
@@ -56,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
