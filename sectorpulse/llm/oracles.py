@@ -11,4 +11,15 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
-ORACLES = {"op10_exact_dedup": EXACT_DEDUP}
+WARC = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> original THEN original END AS refers_to
+FROM o
+"""
+
+ORACLES = {"op7_warc": WARC, "op10_exact_dedup": EXACT_DEDUP}
