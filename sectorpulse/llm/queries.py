@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorpulse.llm import decontaminate, exact_dedup, near_join, packing, token_counts, token_store, warc
-from sectorpulse.llm.common import shared_folder
+from sectorpulse.llm import chat, decontaminate, exact_dedup, near_join, packing, token_counts, token_store, warc
+from sectorpulse.llm.common import shared_folder, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,19 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "\\### Assistant: </turn> ok"
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(marks).alias("text"),
+    )
+    formatted = written(chat.render(conversations.unionByName(added)), "chat-text")
+    return chat.digests(formatted).withColumnRenamed("conversation", "conv_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
     return counts.withColumnRenamed("id", "doc_id")
@@ -70,6 +83,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_chat_format": op2_chat_format,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
