@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorpulse.llm import chat, decontaminate, exact_dedup, near_join, packing, token_counts, token_store, warc
+from sectorpulse.llm import chat, decontaminate, exact_dedup, near_join, packing, substring_dedup, token_counts, token_store, warc
 from sectorpulse.llm.common import shared_folder, written
 
 
@@ -69,6 +69,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.passages(_table(spark, sf_dir, "documents"))
+    return found.drop("key").withColumnsRenamed({"id": "doc_id", "other_id": "other_doc_id"})
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return marked.drop("segment", "place").withColumnRenamed("id", "doc_id")
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_warc": op7_warc,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
