@@ -43,9 +43,8 @@ _U64 = np.dtype("<u8")
 
 def _levels(values: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(chunks, bitmap, directory) of each level."""
-    values = values.astype(np.uint64)
     while True:
-        rest = values >> np.uint64(bits)
+        rest = values >> np.uint32(bits) if bits < 32 else np.zeros_like(values)
         more = rest != 0
         packed = np.packbits(more, bitorder="little")
         words = np.zeros(-(-len(values) // 64), _U64)
@@ -54,7 +53,7 @@ def _levels(values: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndar
         blocks = np.add.reduceat(per_word, np.arange(0, len(words), BLOCK // 64)) if len(words) else per_word
         directory = np.zeros(len(blocks) + 1, _U64)
         np.cumsum(blocks, out=directory[1:])
-        yield (values & np.uint64((1 << bits) - 1)).astype(_KINDS[bits]), words, directory
+        yield values.astype(_KINDS[bits]), words, directory  # the cast keeps the low bits
         if not more.any():
             return
         values = rest[more]
