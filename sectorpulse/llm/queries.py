@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorpulse.llm import chat, decontaminate, exact_dedup, near_join, packing, substring_dedup, token_counts, token_store, warc
+from sectorpulse.llm import chat, decontaminate, exact_dedup, near_join, packing, quality, substring_dedup, token_counts, token_store, warc
 from sectorpulse.llm.common import shared_folder, written
 
 
@@ -42,6 +42,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(formatted).withColumnRenamed("conversation", "conv_id")
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return drawn.drop("key").withColumnRenamed("id", "doc_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
     return counts.withColumnRenamed("id", "doc_id")
@@ -89,6 +94,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_chat_format": op2_chat_format,
+    "op3_importance_resampling": op3_importance_resampling,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
