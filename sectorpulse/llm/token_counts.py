@@ -13,7 +13,6 @@ texts are one token each, as in the library.
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import cache
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorpulse.llm.common import MEMO_ENTRIES, text_or_empty
-from sectorpulse.llm.encoding import library, words
+from sectorpulse.llm.encoding import LATIN_END, library, words
 
 LIMIT = 2048
 NO_RANK = np.int64(1 << 62)
@@ -63,19 +62,15 @@ class Merger:
 
     def pre_tokens(self, run: str) -> tuple[int, list[bytes]]:
         """(special tokens, pre-tokens in UTF-8) of a run without white space."""
-        if run.isascii() and "<|" not in run:
-            return 0, [t.encode() for t in self.pattern.findall(run.lower())]
-        parts = self.special.split(run)
+        parts = self.special.split(run) if "<|" in run else [run]
         found = []
         for part in parts:
-            if part and max(part) > "\uffff":
-                # Here Unicode still grows: which characters are letters depends on the library's version.
+            if part and max(part) > LATIN_END:
+                # Which characters are letters, or compose, depends on the library's version of Unicode.
                 split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
                 found += [bytes(map(self.byte_of.__getitem__, t)) for t, _ in split]
-                continue
-            # Lower case is taken character by character, so a final sigma is no other letter.
-            text = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            found += [t.encode() for t in self.pattern.findall(text)]
+            else:
+                found += [t.encode() for t in self.pattern.findall(part.lower())]
         return len(parts) - 1, found
 
     def counts(self, raw: list[bytes]) -> np.ndarray:
