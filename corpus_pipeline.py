@@ -1,19 +1,53 @@
-"""A training corpus from ``documents`` in stages, each written as Parquet and read again."""
+"""A training corpus from ``documents`` in stages, each written as Parquet and read again.
+
+Every stage works on all that the one before kept. All but the last keep the columns of ``documents``;
+the last returns where each piece of each document lies in the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorpulse.llm import exact_dedup
-from sectorpulse.llm.common import written
+from sectorpulse.llm import decontaminate, exact_dedup, near_join, packing, quality
+from sectorpulse.llm.common import vocabulary, written
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: what importance resampling draws."""
+    return quality.keep_drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one of each group of texts that differ in white space only."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one of each group linked by five-word shingles of 80 % similarity or more."""
+    return near_join.keep_one(docs, shingle=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: without texts of which a twentieth lies in benchmark windows."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: every piece with its sequence and place."""
+    return packing.pack(docs, vocabulary(TOKENIZER)).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
 
+#: SQL has neither the hashed models nor the tokenizer; the tests hold ``run`` against brute force.
 ORACLE_SQL = None
 
 

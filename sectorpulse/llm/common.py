@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed package of public vocabularies has a file; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: Parquet settings for rows of several MB: look at the buffered size after each row.
 LARGE_ROWS = {
     "parquet.block.size": str(16 << 20),

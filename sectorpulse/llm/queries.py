@@ -8,24 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorpulse.llm import chat, decontaminate, exact_dedup, near_join, packing, quality, substring_dedup, token_counts, token_store, warc
-from sectorpulse.llm.common import shared_folder, written
+from sectorpulse.llm.common import shared_folder, vocabulary, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
-    """The public vocabularies' place is a parameter; here it is that of the installed package."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     docs = _table(spark, sf_dir, "documents")
-    token_store.write(docs, folder, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    token_store.write(docs, folder, vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_store.read(spark, folder).withColumnRenamed("id", "doc_id")
 
 
@@ -48,12 +41,12 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    counts = token_counts.count(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return counts.withColumnRenamed("id", "doc_id")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    packed = packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
 
 
