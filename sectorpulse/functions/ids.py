@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 ID_COLUMNS = ("news_type", "sector", "event_category", "link", "title", "keyword")
 LINK_HASH_CHARS = 16
 STREAM_HASH_CHARS = 12
-KEY_CONTENT_CHARS = 500
 
 
 def row_key() -> Column:
@@ -42,7 +41,7 @@ def validation_key(
     payload = F.to_json(
         F.struct(
             category.alias("category"),
-            F.substring(F.trim(content), 1, KEY_CONTENT_CHARS).alias("content"),
+            F.trim(content).alias("content"),
             F.trim(link).alias("link"),
             F.lit(model or "unknown").alias("model"),
             F.lit(prompt_version or "unknown").alias("prompt_version"),

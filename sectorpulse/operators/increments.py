@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sectorpulse.functions.ids import link_hash
 from sectorpulse.functions.text import link_key
 
+#: Rows the alert history is trimmed to when it is kept as a list of bounded length.
 HISTORY_LIMIT = 800
 
 
@@ -35,21 +36,24 @@ def new_links(
 
 
 def unpushed(df: DataFrame, history: DataFrame) -> DataFrame:
-    """Rows whose link fingerprint is not in the history (at most HISTORY_LIMIT rows)."""
+    """Rows whose link fingerprint is not in the history, whatever its length."""
     pushed = history.select(F.col("link_hash").alias("_hash"))
     marked = df.withColumn("_hash", link_hash(F.col("link")))
-    return marked.join(F.broadcast(pushed), "_hash", "left_anti").select(*df.columns)
+    return marked.join(pushed, "_hash", "left_anti").select(*df.columns)
 
 
-def append_history(history: DataFrame, pushed: DataFrame) -> DataFrame:
-    """History (seq, link_hash) followed by the pushed rows (seq, link), trimmed to the newest."""
+def append_history(history: DataFrame, pushed: DataFrame, limit: int | None = HISTORY_LIMIT) -> DataFrame:
+    """History (seq, link_hash) followed by the pushed rows (seq, link).
+
+    Trimmed to the newest ``limit`` rows; with ``None`` nothing is forgotten.
+    """
     top = history.agg(F.max("seq")).first()[0]
     added = pushed.select(
         (F.col("seq") + F.lit(0 if top is None else top + 1)).alias("seq"),
         link_hash(F.col("link")).alias("link_hash"),
     )
     both = history.select("seq", "link_hash").unionByName(added)
-    return both.orderBy(F.desc("seq")).limit(HISTORY_LIMIT)
+    return both if limit is None else both.orderBy(F.desc("seq")).limit(limit)
 
 
 def mark_hot(df: DataFrame, hot: DataFrame) -> DataFrame:

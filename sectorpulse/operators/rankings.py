@@ -1,12 +1,14 @@
 """Ranked lists: sections, hot list, alert batch, daily report, digest input.
 
-Every list is bounded by its own size, and is cut before anything is compared or collected: a
-row-number limit per sector is applied on both sides of the shuffle, a global limit keeps only its
-best rows per task.
+Only finished lists are cut. Where a list is made of the first of several reports of an event, rows are
+compared in windows of their order that grow until the list is full: what comes later cannot change
+which earlier rows lead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +20,17 @@ from sectorpulse.operators.leaders import Selection, assign_followers, select_le
 from sectorpulse.operators.score import ANALYSIS, hot_score, target_sectors
 from sectorpulse.operators.similar import SAME_EVENT, SAME_STORY, Similarity
 from sectorpulse.schema import ROW_ID, is_event
+from sectorpulse.session import cut_lineage
 
 # List sizes.
-HOT_ITEMS, HOT_CANDIDATES, HOT_LEAST_TODAY = 5, 60, 3
+HOT_ITEMS, HOT_LEAST_TODAY = 5, 3
 ALERT_ITEMS = 8
 REPORT_ITEMS = 12
 DIGEST_ITEMS, DIGEST_SECTORS, DIGEST_CHARS = 15, 5, 120
 SECTION_ITEMS = 30
 RELATED_SHOWN = 8
-OVERFETCH = 3
+# Rows of the first window, and its growth; a schedule only, results do not depend on it.
+FIRST_WINDOW, WINDOW_GROWTH, LARGEST_WINDOW = 64, 16, 1 << 16
 
 
 def by_importance() -> list[Column]:
@@ -101,9 +105,8 @@ def section_scope() -> list[Column]:
 
 
 def sections(df: DataFrame, max_items: int = SECTION_ITEMS) -> DataFrame:
-    """Per section the first ``max_items`` event clusters of its ``3 * max_items`` top rows."""
-    candidates = top_per(df, section_scope(), max_items * OVERFETCH).drop("place")
-    clustered = cluster_table(candidates, clusters(candidates, section_scope()))
+    """Per section its first ``max_items`` event clusters, with all their reports."""
+    clustered = cluster_table(df, clusters(df, section_scope()))
     listed = related_reports(clustered)
     order = Window.partitionBy(*section_scope()).orderBy("rank")
     return listed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_items)
@@ -127,6 +130,22 @@ def hot_candidates(df: DataFrame, selected: list[str], as_of) -> DataFrame:
     return scored.filter(F.col("is_today") | in_last_hours(as_of)).drop("_related")
 
 
+def first_leaders(
+    df: DataFrame, order: list[Column], n: int, select: Callable[[DataFrame], Selection]
+) -> DataFrame:
+    """The first ``n`` rows of ``df`` in ``order`` that lead, under ``select`` in that order."""
+    window = max(FIRST_WINDOW, 4 * n)
+    held = cut_lineage(df)
+    total = held.count()
+    while True:
+        best = held.orderBy(*order).limit(window) if window < total else held
+        leaders = select(best).decisions.filter("is_leader").select(ROW_ID)
+        found = best.join(leaders, ROW_ID, "left_semi").orderBy(*order).limit(n)
+        if window >= total or found.count() >= n:
+            return found
+        window = window * WINDOW_GROWTH if window < LARGEST_WINDOW else total
+
+
 def hot_list(
     df: DataFrame, selected: list[str], as_of, limit: int = HOT_ITEMS
 ) -> tuple[DataFrame, bool]:
@@ -138,15 +157,17 @@ def hot_list(
         fallback = not candidates.filter(~F.col("is_today")).isEmpty()
     pool = candidates if fallback else today
     order = [F.col("hot_score").desc(), F.col("is_today").desc(), F.col(ROW_ID).asc()]
-    best = pool.orderBy(*order).limit(HOT_CANDIDATES)
-    picked = select_leaders(
-        best,
-        order_by=[F.col("hot_score"), F.col("is_today")],
-        exact={},
-        title=title_key(F.col("title")),
-        similarity=SAME_STORY,
-    ).decisions.filter("is_leader")
-    return best.join(picked.select(ROW_ID), ROW_ID, "left_semi").orderBy(*order).limit(limit), fallback
+
+    def select(rows: DataFrame) -> Selection:
+        return select_leaders(
+            rows,
+            order_by=[F.col("hot_score"), F.col("is_today")],
+            exact={},
+            title=title_key(F.col("title")),
+            similarity=SAME_STORY,
+        )
+
+    return first_leaders(pool, order, limit, select), fallback
 
 
 def alert_batch(df: DataFrame, history: DataFrame, as_of) -> DataFrame:
@@ -158,9 +179,7 @@ def alert_batch(df: DataFrame, history: DataFrame, as_of) -> DataFrame:
 def daily_report(df: DataFrame, as_of) -> DataFrame:
     """Leaders of the most important events of the last 24 hours."""
     recent = df.filter(in_last_hours(as_of))
-    top = recent.orderBy(*by_importance()).limit(REPORT_ITEMS * OVERFETCH)
-    led = clusters(top, []).decisions.filter("is_leader").select(ROW_ID)
-    return top.join(led, ROW_ID, "left_semi").orderBy(*by_importance()).limit(REPORT_ITEMS)
+    return first_leaders(recent, by_importance(), REPORT_ITEMS, lambda rows: clusters(rows, []))
 
 
 def digest_input(df: DataFrame, selected: list[str], as_of) -> DataFrame:

@@ -124,22 +124,31 @@ def apply_verdicts(
     return settled.unionByName(answered.filter(keep).select(*df.columns))
 
 
-def _shown(df: DataFrame, name: str) -> Column:
+def _shown(df: DataFrame, name: str, chars: int | None) -> Column:
     text = F.col(name) if name in df.columns else F.lit("")
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " "))
-    return F.substring(flat, 1, SHOWN_CHARS[name]).alias(name)
+    return (flat if chars is None else F.substring(flat, 1, chars)).alias(name)
 
 
-def requests(df: DataFrame, verdicts: DataFrame | None = None, **versions: str) -> DataFrame:
+def requests(
+    df: DataFrame,
+    verdicts: DataFrame | None = None,
+    shown_chars: dict[str, int | None] = SHOWN_CHARS,
+    retry: bool = False,
+    **versions: str,
+) -> DataFrame:
     """One request per key that has no verdict yet: (validation_key, category, payload).
 
+    A request shows the fields of ``shown_chars``, each cut to that many characters (None: whole); the
+    key covers whole fields. With ``retry`` a verdict that was only an error is asked for again; without it an error is an answer.
+
     The smallest row id speaks for its key; the choice is made before the shuffle as well.
     """
     doubtful = with_key(df.filter(needs_verdict()), **versions)
     payload = F.to_json(
         F.struct(
             F.col(RESULT)["category"].alias("category"),
-            F.struct(*[_shown(df, name) for name in SHOWN_CHARS]).alias("news"),
+            F.struct(*[_shown(df, name, chars) for name, chars in shown_chars.items()]).alias("news"),
             evidence().alias("evidence"),
         )
     )
@@ -147,7 +156,8 @@ def requests(df: DataFrame, verdicts: DataFrame | None = None, **versions: str)
         "validation_key", ROW_ID, F.col(RESULT)["category"].alias("category"), payload.alias("payload")
     )
     if verdicts is not None:
-        wanted = wanted.join(verdicts.select("validation_key"), "validation_key", "left_anti")
+        final = verdicts.where("raw IS NOT NULL") if retry else verdicts
+        wanted = wanted.join(final.select("validation_key"), "validation_key", "left_anti")
     first = F.min_by(F.struct("category", "payload"), F.col(ROW_ID)).alias("first")
     return wanted.groupBy("validation_key").agg(first).select("validation_key", "first.*")
 
