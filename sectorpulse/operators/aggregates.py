@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorpulse.functions import times
-from sectorpulse.functions.ids import row_key
 from sectorpulse.operators.filters import is_today, published
 from sectorpulse.operators.score import ANALYSIS
 from sectorpulse.rules.defaults import OTHER_GROUP
-from sectorpulse.schema import NONE_LABEL, is_event
+from sectorpulse.schema import NONE_LABEL, ROW_ID, is_event
 
 SENTIMENTS = ("positive", "neutral", "negative")
 
@@ -48,11 +47,15 @@ def metadata(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Changes whenever the table does: latest fetch time, row count, hash over identities."""
+    """Changes whenever the table does: latest fetch time, row count, sum of row hashes.
+
+    A sum counts equal rows as often as they occur, and covers every column but the row id.
+    """
+    columns = [c for c in sorted(df.columns) if c != ROW_ID]
     return df.agg(
         F.coalesce(F.max("fetched_at"), F.lit("")).alias("latest_fetched_at"),
         F.count(F.lit(1)).alias("total"),
-        F.bit_xor(F.xxhash64(row_key(), F.col("content"), F.col("fetched_at"))).alias("content_hash"),
+        F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("content_hash"),
     )
 
 

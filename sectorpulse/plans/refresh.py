@@ -72,7 +72,8 @@ def full_refresh(fetched: DataFrame, config: Config, as_of, days: int = RETENTIO
     """A new table from fetched rows alone. Nothing fetched is a failed run, not an empty table."""
     if fetched.isEmpty():
         raise ValueError("nothing was fetched: the stored table stays as it is")
-    return prune(config.refilter(dedupe_news(fetched, config.fuzzy)), days, as_of)
+    kept = dedupe_news(fetched, config.fuzzy, keep_fragment=config.keep_fragment)
+    return prune(config.refilter(kept), days, as_of)
 
 
 @dataclass(frozen=True)

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sectorpulse.schema import NEWS_SCHEMA, repair
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns as text, blanks kept blank. An unreadable path raises: merging onto a table
-    that only looks empty would lose it."""
-    options = {"header": True, "emptyValue": "", "nullValue": "\x00", "multiLine": True, "escape": '"'}
+    that only looks empty would lose it. Line breaks inside quotes need ``multi_line``, which makes a
+    file one task; without them large files are split. Convert to Parquet once at ingest."""
+    options = {"header": True, "emptyValue": "", "nullValue": "\x00", "multiLine": multi_line, "escape": '"'}
     return repair(spark.read.options(**options).schema(NEWS_SCHEMA).csv(path))
 
 

@@ -78,12 +78,11 @@ def start_refresh(stream: DataFrame, body: Callable[[DataFrame, int], None], che
 def unseen_links(stream: DataFrame, event_time: str, retention: str = "30 days") -> DataFrame:
     """Bounded-state variant of the link filter: a link passes once per retention span.
 
-    Blank links are all kept: each gets a key of its own from the whole row.
+    Blank links are all kept: they go round the de-duplication.
     """
-    key = link_key(F.col("link"))
-    row = F.concat(F.lit("row:"), F.xxhash64(*stream.columns).cast("string"))
-    keyed = stream.withColumn("link_key", F.when(key != "", key).otherwise(row))
-    return keyed.withWatermark(event_time, retention).dropDuplicatesWithinWatermark(["link_key"])
+    keyed = stream.withColumn("link_key", link_key(F.col("link"))).withWatermark(event_time, retention)
+    linked = keyed.filter("link_key != ''").dropDuplicatesWithinWatermark(["link_key"])
+    return linked.unionByName(keyed.filter("link_key = ''"))
 
 
 def alerts(
@@ -91,12 +90,18 @@ def alerts(
     outbox: SnapshotFolder,
     as_of: Callable[[int], str],
     lexicon: Lexicon | None = None,
-    deliver: Callable[[DataFrame], bool] | None = None,
+    deliver: Callable[[DataFrame, str], bool] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """After a refresh: write the alert batch, then extend the history if anything was delivered."""
+    """After a refresh: write the alert batch, then extend the history if anything was delivered.
+
+    A batch whose history is written is done, also when it is replayed. A batch that failed between
+    delivery and history is delivered again; ``deliver`` gets the version as its idempotency key.
+    """
 
     def run(table: DataFrame, batch_id: int) -> None:
         version = version_name(batch_id)
+        if f"v={version}" in history.versions():
+            return
         spark = table.sparkSession
         known = history.current(before=version)
         if known is None:
@@ -104,11 +109,11 @@ def alerts(
         batch = alert_batch(analyse(table, lexicon), known, as_of(batch_id))
         outbox.publish(batch, version)
         sent = spark.read.parquet(f"{outbox.path}/v={version}")
-        delivered = not sent.isEmpty() and (deliver is None or deliver(sent))
+        delivered = not sent.isEmpty() and (deliver is None or deliver(sent, version))
         if delivered:
             # At most a handful of rows, in alert order.
             order = sent.orderBy(*by_importance())
             numbered = order.withColumn("seq", F.monotonically_increasing_id())
-            history.publish(append_history(known, numbered), version)
+            history.publish(append_history(known, numbered, limit=None), version)
 
     return run

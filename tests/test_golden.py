@@ -137,6 +137,20 @@ def test_hot_list_cases(spark):
     assert ids(hot) == [0, 2] and fallback
 
 
+def test_a_burst_of_copies_does_not_fill_the_lists(spark, monkeypatch):
+    copies = [{"title": "美国宣布新一轮出口管制涉及芯片设备" + "！" * (k % 3), "link": f"http://a.com/{k}"} for k in range(100)]
+    others = ["央行宣布降息", "光伏组件价格企稳回升", "某公司发布年度业绩报告", "新能源汽车销量创新高", "黄金价格小幅回落"]
+    later = [{"title": t, "link": f"http://b.com/{k}", "publish_time": "2026-07-05 01:00:00"} for k, t in enumerate(others)]
+    rows = score.analyse(news(spark, *copies, *later)).cache()
+    hot = [ids(rankings.hot_list(rows, [], NOW)[0])]
+    report = [ids(rankings.daily_report(rows, NOW))]
+    monkeypatch.setattr(rankings, "FIRST_WINDOW", 1000)
+    hot.append(ids(rankings.hot_list(rows, [], NOW)[0]))
+    report.append(ids(rankings.daily_report(rows, NOW)))
+    assert hot[0] == hot[1] and len(hot[0]) == 5
+    assert report[0] == report[1] and len(report[0]) == 6
+
+
 def test_clusters_and_sections(spark):
     rows = score.analyse(news(
         spark, {"title": "英伟达发布新一代 GPU 芯片，算力大幅提升"}, {"title": "英伟达正式发布新一代 GPU 芯片 算力提升明显"},
@@ -205,5 +219,6 @@ def test_verifier_runs_once_per_request(spark):
     table = spark.createDataFrame(answers, verdicts.VERDICT_SCHEMA)
     assert sum(r["error"] is not None for r in answers) == 1
     assert verdicts.requests(judged, table).isEmpty()
+    assert verdicts.requests(judged, table, retry=True).count() == 1
     assert sorted(ids(verdicts.apply_verdicts(judged, table))) == [0, 1, 3]
     assert sorted(ids(verdicts.apply_verdicts(judged, None))) == [0, 1, 2, 3, 4]

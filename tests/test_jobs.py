@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sectorpulse import schema
+from sectorpulse.operators import aggregates, dedupe
 from sectorpulse.operators.similar import SAME_STORY
 from sectorpulse.plans import refresh
 from sectorpulse.plans.display import display
@@ -39,13 +40,30 @@ def test_search_frame_needs_title_and_link(spark):
         search.search_rows(spark.createDataFrame([("t",)], "title string"), F.lit("k"))
 
 
-def test_many_keywords_use_the_automaton(spark, monkeypatch):
-    pytest.importorskip("ahocorasick")
-    df = spark.createDataFrame([("Apple 产业链", "GPU"), ("App", "le")], "title string, content string")
-    expected = sorted(map(tuple, feeds.match_keywords(df, ["apple", "gpu", "GPU", "链"]).collect()))
-    monkeypatch.setattr(feeds, "AUTOMATON_FROM", 1)
-    assert sorted(map(tuple, feeds.match_keywords(df, ["apple", "gpu", "GPU", "链"]).collect())) == expected
-    assert len(expected) == 4
+def test_keywords_of_any_number(spark):
+    rows = [("Apple 产业链", "GPU"), ("App", "le"), (None, "gpu")]
+    df = spark.createDataFrame(rows, "title string, content string")
+    few = sorted(map(str, feeds.match_keywords(df, ["apple", "gpu", "GPU", "链"]).collect()))
+    many = feeds.match_keywords(df, ["apple", "gpu", "GPU", "链", *(f"none{k}" for k in range(700))])
+    assert sorted(map(str, many.collect())) == few and len(few) == 4
+
+
+def test_fingerprint_sees_every_column_and_equal_rows(spark):
+    def sums(*rows):
+        return aggregates.fingerprint(news(spark, *rows)).first()["content_hash"]
+
+    base = sums({"title": "a"}, {"title": "b"})
+    assert base == sums({"title": "b"}, {"title": "a"})
+    assert len({base, sums({"title": "a", "reason": "r"}, {"title": "b"}), sums({"title": "a", "source": "s"}, {"title": "b"})}) == 3
+    assert sums({"title": "a"}, {"title": "a"}) != sums({"title": "b"}, {"title": "b"})
+
+
+def test_full_refresh_keeps_fragments(spark):
+    rows = [{"title": f"第{k}条 快讯 {k}", "link": f"http://feed#{k}", "publish_time": "2026-07-05 10:00:00"} for k in range(3)]
+    fetched = news(spark, *rows)
+    for keep, n in ((True, 3), (False, 1)):
+        kept = dedupe.dedupe_news(fetched, False, keep_fragment=keep)
+        assert kept.count() == n
 
 
 def test_snapshot_versions(spark):
