@@ -1249,20 +1249,22 @@ fetched AS (SELECT n.*, {lk} AS lk FROM news n WHERE keyword = 'fr'),
 unseen AS (SELECT * FROM fetched WHERE lk = '' OR lk NOT IN (SELECT lk FROM hl WHERE lk <> ''))""".format(lk=S.link_key("link"))
 
 
-@query(
-    S.with_news(
-        *_MARK_SQL,
-        _KEPT_OLD,
-        S.greedy("held", S.SCOPE, S.NEWEST_FIRST, S.news_keys(), "g1"),
-        f"""both_rows AS (SELECT h.row_id, h.row_id AS old_id, {", ".join("h." + c for c in schema.NEWS_COLUMNS)} FROM held h JOIN g1 USING (row_id) WHERE keep
+_REFRESHED = (
+    *_MARK_SQL,
+    _KEPT_OLD,
+    S.greedy("held", S.SCOPE, S.NEWEST_FIRST, S.news_keys(), "g1"),
+    f"""both_rows AS (SELECT h.row_id, h.row_id AS old_id, {", ".join("h." + c for c in schema.NEWS_COLUMNS)} FROM held h JOIN g1 USING (row_id) WHERE keep
   UNION ALL SELECT (SELECT max(row_id) + 1 FROM held) + row_id, row_id, {NEWS_COLS} FROM unseen)""",
-        S.greedy("both_rows", S.SCOPE, S.NEWEST_FIRST, S.news_keys(), "g2"),
-        f"""final AS (SELECT b.*, {S.publish_ts("b.publish_time")} AS p, try_cast(b.fetched_at AS TIMESTAMP) AS f
+    S.greedy("both_rows", S.SCOPE, S.NEWEST_FIRST, S.news_keys(), "g2"),
+    f"""final AS (SELECT b.*, {S.publish_ts("b.publish_time")} AS p, try_cast(b.fetched_at AS TIMESTAMP) AS f
   FROM both_rows b JOIN g2 USING (row_id) JOIN kept k ON k.row_id = b.old_id WHERE g2.keep AND k.keep)""",
-        recursive=True,
-    )
-    + f"""SELECT row_id, title, sector, event_category FROM final WHERE p >= {S.NOW} - INTERVAL 10 DAY
-  OR (p IS NULL AND (f IS NULL OR f >= {S.NOW} - INTERVAL 10 DAY))"""
+)
+_RECENT = f"(p >= {S.NOW} - INTERVAL 10 DAY OR (p IS NULL AND (f IS NULL OR f >= {S.NOW} - INTERVAL 10 DAY)))"
+
+
+@query(
+    S.with_news(*_REFRESHED, recursive=True)
+    + f"SELECT row_id, title, sector, event_category FROM final WHERE {_RECENT}"
 )
 def incremental_refresh_exact(spark, sf):
     rows = news(spark, sf)
@@ -1271,6 +1273,17 @@ def incremental_refresh_exact(spark, sf):
     return done.table.select("row_id", "title", "sector", "event_category")
 
 
+@query(
+    S.with_news(*_REFRESHED, recursive=True)
+    + f"""SELECT greatest(count(*) - (SELECT count(*) FROM held), 0) AS added,
+  count(*) - count(*) FILTER (WHERE {_RECENT}) AS pruned, count(*) FILTER (WHERE {_RECENT}) AS total FROM final"""
+)
+def incremental_counts_exact(spark, sf):
+    rows = news(spark, sf)
+    old, fetched = rows.filter(F.col("keyword") != "fr"), rows.filter(F.col("keyword") == "fr")
+    return refresh.incremental_refresh(old, fetched, _config(False), AS_OF, 10).counts
+
+
 @query()
 def incremental_refresh_counts(spark, sf):
     rows = news(spark, sf)
