@@ -11,11 +11,14 @@ digests, and counts if the whole passage has ``min_words`` words.
 The partner of a chunk is its first occurrence, or for that one its last. Equal texts are one text, named
 by a 64-bit hash: documents with copies have the whole text as their passage if it is long enough.
 
-A passage is found if ``anchor_words`` of its words lie in whole chunks; chunks have 32 bytes on average,
-so of a passage of 50 words some ten are lost at its ends.
+A passage is found if ``anchor_words`` of its words lie in whole chunks; chunks have 48 bytes on average,
+so of a passage of 50 words some fifteen are lost at its ends.
+
+Chunks are cut twice, once for their digests and once for the rows of repeated ones: that is cheaper than
+to keep them all. Only rows of repeated chunks are looked at further.
 
 Defined results: null and empty texts have no passages; an empty table gives an empty result; ids name
-documents only in the output, so rows that repeat an id have their passages each; a null id orders first;
+and order documents, so rows that repeat an id have their passages each; a null id orders last;
 other columns are ignored (``cut`` keeps them).
 """
 
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 
 from sectorpulse.llm.common import BROADCAST_KEYS, text_or_empty, written
 
-MIN_CHUNK, MAX_CHUNK = 16, 96
+MIN_CHUNK, MAX_CHUNK = 16, 128
 #: Bits of the gear hash that must be zero at an end; they depend on the last 16 bytes.
-END_BITS = np.uint32(0xF000)
-MIN_WORDS, ANCHOR_WORDS = 50, 20
+END_BITS = np.uint32(0xF800)
+MIN_WORDS, ANCHOR_WORDS = 50, 15
 
 #: A fixed random number for each byte value, from the digest of the byte.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], np.uint32)
@@ -78,32 +81,32 @@ def cut_points(data: bytes) -> list[int]:
     return ends
 
 
-CHUNKS = "key long, seq int, start int, size int, words int, digest long"
-#: Texts a task remembers to cut only once.
-SEEN = 1_000_000
+CHUNKS = "id long, key long, seq int, start int, size int, words int, digest long"
 
 
 def _chunked(batches) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
     for batch in batches:
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        counts, kept = [], []
+        for k, text in enumerate(batch.column("text")):
             data = text.as_py().encode()
-            if not data or key in seen:
+            if not data:
                 continue
-            if len(seen) < SEEN:
-                seen.add(key)
             ends = cut_points(data)
             starts = [0, *ends[:-1]]
             digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts, ends, strict=True)]
             n = len(ends)
             words = np.add.reduceat(word_starts(np.frombuffer(data, np.uint8)).astype(np.int32), starts)
-            row = (np.full(n, key), np.arange(n), starts, np.diff(ends, prepend=0), words, np.array(digests, np.uint64).view(np.int64))
+            row = (np.arange(n), starts, np.diff(ends, prepend=0), words, np.array(digests, np.uint64).view(np.int64))
             for column, values in zip(columns, row, strict=True):
                 column.append(np.asarray(values))
-        if columns[0]:
-            kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64()]
-            arrays = [pa.array(np.concatenate(c)).cast(kind) for c, kind in zip(columns, kinds, strict=True)]
+            counts.append(n)
+            kept.append(k)
+        if kept:
+            rows = pa.array(np.repeat(kept, counts))
+            kinds = [*[pa.int32()] * 4, pa.int64()]
+            arrays = [batch.column("id").take(rows), batch.column("key").take(rows)]
+            arrays += [pa.array(np.concatenate(c)).cast(kind) for c, kind in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CHUNKS.split(", ")])
 
 
@@ -139,12 +142,17 @@ def _extended(min_words: int):
             found = []
             for row in (row for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
                 one, two = row["text"].encode(), row["other"].encode()
-                around = common_around(one, two, row["start"], row["end"], row["shift"])
-                if around is None:
-                    continue
-                start, end, n = whole_words(one, *around)
-                if n >= min_words:
-                    found.append((row["key"], row["partner"], start, end, n))
+                done: dict[int, int] = {}
+                for run in sorted(row["runs"], key=lambda r: r["start"]):
+                    if run["end"] <= done.get(run["shift"], 0):
+                        continue  # inside the passage of an earlier run
+                    around = common_around(one, two, run["start"], run["end"], run["shift"])
+                    if around is None:
+                        continue
+                    done[run["shift"]] = around[1]
+                    start, end, n = whole_words(one, *around)
+                    if n >= min_words:
+                        found.append((row["key"], row["partner"], start, end, n))
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, pa.int64()) for x in zip(*found, strict=True)], [x.split()[0] for x in SPANS.split(", ")]
@@ -167,12 +175,15 @@ def passages(
     """
     text = text_or_empty(text_column)
     keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    chunks = written(keyed.select("key", "text").mapInArrow(_chunked, CHUNKS), "text-chunks")
-    place = F.struct("key", "start")
-    repeated = chunks.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    repeated = repeated.where(F.col("lo.key") != F.col("hi.key"))
+    chunks = keyed.mapInArrow(_chunked, CHUNKS)
+    texts_with = chunks.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    digests = written(texts_with.where("lo != hi").select("digest"), "repeated-chunks")
+    small = digests.count() <= BROADCAST_KEYS
+    shared = written(chunks.join(F.broadcast(digests) if small else digests, "digest", "left_semi"), "shared-chunks")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "start")
+    ends = written(shared.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")), "chunk-ends")
     partner = F.when(F.col("key") == F.col("lo.key"), F.col("hi")).otherwise(F.col("lo"))
-    shared = chunks.join(repeated, "digest").withColumn("at", partner)
+    shared = shared.join(ends, "digest").withColumn("at", partner).where("key != at.key")
     shared = shared.select(
         "key", "seq", "start", "size", "words", F.col("at.key").alias("partner"), (F.col("start") - F.col("at.start")).alias("shift")
     ).dropDuplicates(["key", "start"])
@@ -182,7 +193,8 @@ def passages(
         .groupBy("key", "partner", "shift", "run")
         .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"))
         .where(F.col("words") >= anchor_words)
-        .select("key", "partner", "shift", "start", "end")
+        .groupBy("key", "partner")
+        .agg(F.collect_list(F.struct("shift", "start", "end")).alias("runs"))
     )
     runs = written(runs, "chunk-runs")
     needed = runs.select(F.explode(F.array("key", "partner")).alias("key")).distinct()
@@ -190,7 +202,7 @@ def passages(
     texts = keyed.select("key", "text").join(F.broadcast(needed) if small else needed, "key", "left_semi")
     texts = written(texts.dropDuplicates(["key"]), "run-texts")
     pairs = runs.join(texts, "key").join(texts.toDF("partner", "other"), "partner")
-    spans = pairs.select("key", "partner", "shift", "start", "end", "text", "other").mapInArrow(_extended(min_words), SPANS)
+    spans = pairs.select("key", "partner", "runs", "text", "other").mapInArrow(_extended(min_words), SPANS)
     spans = written(spans, "passages")
 
     # Copies of whole texts, and the first document of each text.
@@ -214,7 +226,7 @@ def passages(
         F.max("end").alias("end"),
         F.max("n_words").alias("n_words"),
         F.min("other_id").alias("other_id"),
-        F.coalesce(F.min("other_id") < F.col("id"), F.lit(False)).alias("later"),
+        F.coalesce(F.min("other_id") < F.col("id"), F.min("other_id").isNotNull()).alias("later"),
     ).drop("passage")
 
 
