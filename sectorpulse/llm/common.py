@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +62,16 @@ def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if small else keys, column, "left_anti")
 
 
+def sorted_unique(values: np.ndarray) -> np.ndarray:
+    """``np.unique`` by a sort, which for integers is faster than its hash table."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 class Memo(dict):
     """A bounded memo of a pure function; frequent keys come early, so the first ones stay."""
 
-    def __init__(self, function: Callable, entries: int = MEMO_ENTRIES):
+    def __init__(self, function: Callable | None = None, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.function, self.entries = function, entries
 

@@ -26,6 +26,7 @@ id and text are drawn alike; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import Memo, text_or_empty, without, written
+from sectorpulse.llm.common import Memo, sorted_unique, text_or_empty, without, written
 
 BUCKETS = 1 << 20
 #: Lengths of the word beginnings that are features, besides whole words.
@@ -52,20 +53,33 @@ _BLOCK = 1 << 12
 _KINDS = ("pair_raw", "text_raw", "pair_target", "text_target")
 
 
+_PACK = struct.Struct(f"<{1 + len(BEGINNINGS)}i").pack
+
+
+def _buckets(word: str) -> bytes:
+    """The buckets of a word and of its beginnings, as 32-bit integers."""
+    whole = xxhash.xxh3_64_intdigest(word) % BUCKETS
+    size = len(word)
+    parts = [xxhash.xxh3_64_intdigest(word[:n], n) % BUCKETS if size > n else whole for n in BEGINNINGS]
+    return _PACK(whole, *parts)
+
+
+#: Words a worker remembers, some 250 MB.
+WORDS = 1_000_000
+
+
 @cache
-def _hashes(length: int) -> Memo:
-    mark = f"{length}^"
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w if not length else mark + w[:length] if len(w) > length else w) % BUCKETS)
+def _memo() -> Memo:
+    return Memo(_buckets, WORDS)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of every word and word pair, distinct buckets of words and word beginnings)."""
     words = text.lower().split()
-    one = np.fromiter(map(_hashes(0).__getitem__, words), np.int64, len(words))
-    pairs = (one[:-1] * 0x9E3779B1 + one[1:] * 31 + 7) % BUCKETS
-    distinct = set(words)
-    parts = [one, *(np.fromiter(map(_hashes(n).__getitem__, distinct), np.int64, len(distinct)) for n in BEGINNINGS)]
-    return np.concatenate([one, pairs]), np.unique(np.concatenate(parts))
+    found = np.frombuffer(b"".join(map(_memo().__getitem__, words)), np.int32).reshape(-1, 1 + len(BEGINNINGS))
+    one = found[:, 0].astype(np.uint32)
+    pairs = (one[:-1] * np.uint32(0x9E3779B1) + one[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+    return np.concatenate([one, pairs]).astype(np.int32), sorted_unique(found.ravel())
 
 
 #: Characters of texts counted at once.
@@ -126,7 +140,7 @@ COUNTS = "block long, counts binary"
 class Models:
     """Counts by bucket and their totals, for the target and for all text."""
 
-    counts: np.ndarray
+    counts: np.ndarray  # by kind and bucket
     pairs_share: float
     texts_share: float
 
@@ -136,6 +150,7 @@ class Models:
         if not len(pairs):
             return None
         buckets, n = np.unique(pairs, return_counts=True)
+        n = n.astype(np.float32)
         pair_raw, text_raw, pair_target, text_target = self.counts
         mean = self._log(pair_target[buckets] - target * n, pair_raw[buckets] - n, self.pairs_share)
         lowest = self._log(text_target[distinct] - target, text_raw[distinct] - 1, self.texts_share)
@@ -175,7 +190,8 @@ SCORED = "id long, key long, clean boolean, toxic boolean, mean double, lowest d
 
 def _scored(shared):
     def score(batches) -> Iterator[pa.RecordBatch]:
-        models = Models(*shared.value)
+        counts, *shares = shared.value
+        models = Models(counts.astype(np.float32), *shares)
         for batch in batches:
             clean = batch.column("clean").to_pylist()
             found = [models.ratios(t.as_py(), bool(c)) for t, c in zip(batch.column("text"), clean, strict=True)]
