@@ -18,6 +18,8 @@ Equal sets are one class, and only classes are compared:
    differing shingle flips one bit, so sets whose sketches differ in more bits than the threshold
    allows have no link. This is a bound, not a guess, and it is part of the join condition.
 
+Pairs to compare also pass wider sketches, which grow with the sets, before their texts are fetched.
+
 So a group of near copies costs a comparison for each signature and member instead of all pairs, and
 every decision is made on the whole texts. Signatures stream from the tasks into one shuffle.
 
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import Memo, text_or_empty, without, written
+from sectorpulse.llm.common import Memo, sorted_unique, text_or_empty, without, written
 from sectorpulse.llm.components import components
 
 SHINGLE = 5
@@ -78,7 +80,7 @@ def shingles(text: str, size: int) -> np.ndarray:
     rolled = np.full(n, width, U64)
     for j in range(width):
         rolled = (rolled ^ (rolled >> U64(29))) * _MIX + h[j : j + n]
-    return np.unique(_mixed(rolled))
+    return sorted_unique(_mixed(rolled))
 
 
 class Levels:
@@ -134,23 +136,38 @@ def _class(hashes: np.ndarray) -> int:
 
 
 SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
-CLASSES = "id long, n long, class long, " + ", ".join(f"{s} long" for s in SKETCH)
+CLASSES = "id long, n long, class long, wide binary, " + ", ".join(f"{s} long" for s in SKETCH)
+
+
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """Parity bits of a set, some two to four for each shingle."""
+    width = 64 << max(3, (len(hashes) // 32).bit_length())
+    bits = np.bincount(((hashes >> U64(20)) & U64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def flipped_bits(one: bytes, other: bytes) -> int:
+    """Bits in which two wide sketches differ; the longer one is folded. No more than sets differ in."""
+    a, b = sorted((np.frombuffer(x, np.uint64) for x in (one, other)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _described(size: int) -> Callable:
     def describe(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, names, rows = [], [], []
+            n, names, rows, wide = [], [], [], []
             for text in batch.column(1):
                 hashes = shingles(text.as_py(), size)
                 n.append(len(hashes))
                 names.append(_class(hashes))
                 rows.append(sketch(hashes))
+                wide.append(wide_sketch(hashes))
             if n:
                 sketches = np.array(rows)
-                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())]
+                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(wide, pa.binary())]
                 columns += [pa.array(sketches[:, k]) for k in range(SKETCH_LONGS)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "class", *SKETCH])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "class", "wide", *SKETCH])
 
     return describe
 
@@ -188,6 +205,16 @@ def _signed(size: int, percent: int) -> Callable:
     return sign
 
 
+def _allowed(percent: int) -> Callable:
+    def allow(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(x).to_pylist() for x in ("sizes", "left", "right")), strict=True)
+            kept = [flipped_bits(a, b) * (100 + percent) <= sizes * (100 - percent) for sizes, a, b in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return allow
+
+
 def _compared(size: int, percent: int) -> Callable:
     def compare(batches) -> Iterator[pa.RecordBatch]:
         last, one = None, None
@@ -250,7 +277,8 @@ def join(
     texts = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
     described = written(texts.mapInArrow(_described(shingle), CLASSES), "near-classes")
     known = described.where("n > 0")
-    classes = known.groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
+    classes = known.groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "wide", *SKETCH)])
+    classes = written(classes, "near-reps")
 
     signatures = texts.mapInArrow(_signed(shingle, percent), "sig long, class long")
     bucket = Window.partitionBy("sig")
@@ -262,8 +290,11 @@ def join(
     shared = written(shared, "near-buckets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that have a link, by their whole texts."""
-        pairs = written(pairs, "near-pairs")
+        """The pairs (a, b) of classes that have a link: wide sketches first, then whole texts."""
+        wide = classes.select("class", "n", "wide")
+        x, y = wide.toDF("a", "n", "left"), wide.toDF("b", "m", "right")
+        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("n") + F.col("m")).alias("sizes"), "left", "right")
+        pairs = written(pairs.mapInArrow(_allowed(percent), "a long, b long"), "near-pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         chosen = written(_pick(texts, classes.select("id", "class").join(needed, "class"), shingle), "near-texts")
         held = pairs.join(chosen.toDF("a", "left"), "a").join(chosen.toDF("b", "right"), "b")
@@ -302,7 +333,8 @@ def join(
     groups = known.join(labels.toDF("class", "label"), "class", "left").select(
         "id", "n", F.coalesce("label", "class").alias("label")
     )
-    least = groups.groupBy("label").agg(F.min("id").alias("component_id"))
+    # Written, so that the join below has a shuffle of its own whose hot labels can be split.
+    least = written(groups.groupBy("label").agg(F.min("id").alias("component_id")), "near-least")
     alone = described.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return groups.join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
