@@ -209,6 +209,8 @@ def passages(
     n_words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     listed = written(keyed.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), n_words.cast("long").alias("n")), "listed")
     first = listed.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("copies"))
+    # Written, so that the joins below have shuffles of their own whose hot texts can be split.
+    first = written(first, "text-copies")
     spans = spans.join(first.select(F.col("key").alias("partner"), F.col("first_id").alias("other_id")), "partner")
     found = listed.join(spans.select("key", "start", "end", "n_words", "other_id"), "key")
     found = found.select("id", "key", "start", "end", "n_words", "other_id")
