@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sectorpulse.session import ensure_checkpoint_dir
 
-#: Entries a memo of a Python worker holds at most; about 100 MB with short words as keys.
-MEMO_ENTRIES = 500_000
+#: Entries a memo of a Python worker holds at most; about 60 MB with short words as keys.
+MEMO_ENTRIES = 300_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -68,12 +68,25 @@ def sorted_unique(values: np.ndarray) -> np.ndarray:
     return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
+_MEMOS: list[Memo] = []
+_OWNER: list[str] = [""]
+
+
+def own_memos(operator: str) -> None:
+    """Called by a task: a worker that goes from one operator to another forgets what the other held."""
+    if _OWNER[0] != operator:
+        _OWNER[0] = operator
+        for memo in _MEMOS:
+            memo.clear()
+
+
 class Memo(dict):
     """A bounded memo of a pure function; frequent keys come early, so the first ones stay."""
 
     def __init__(self, function: Callable | None = None, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.function, self.entries = function, entries
+        _MEMOS.append(self)
 
     def __missing__(self, key):
         value = self.function(key)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import LARGE_ROWS, Memo, text_or_empty, without, written
+from sectorpulse.llm.common import LARGE_ROWS, Memo, own_memos, text_or_empty, without, written
 
 WINDOW = 13
 SEGMENT_WORDS = 1 << 19
@@ -110,6 +110,7 @@ def build(
     """The index of ``docs``, a row for each segment, written to the shared folder."""
 
     def segments(batches) -> Iterator[pa.RecordBatch]:
+        own_memos("decontaminate")
         ids, found, held = [], [], 0
         name = TaskContext.get().partitionId() << 32
         for batch in batches:

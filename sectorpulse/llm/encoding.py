@@ -40,8 +40,8 @@ def library(path: str):
 
 #: Latin letters, of which every version of Unicode has the same ones, and marks.
 LATIN_END, MARKS = "\u024f", ",.;:!?"
-#: Entries of the memo of pieces, with keys and ids some 250 MB in a worker; rarer kinds have a fifth.
-PIECE_ENTRIES = 1_200_000
+#: Entries of the memo of pieces, with keys and ids some 170 MB in a worker; rarer kinds have a fifth.
+PIECE_ENTRIES = 800_000
 
 
 class Pieces(Memo):

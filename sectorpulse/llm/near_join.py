@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import Memo, sorted_unique, text_or_empty, without, written
+from sectorpulse.llm.common import Memo, own_memos, sorted_unique, text_or_empty, without, written
 from sectorpulse.llm.components import components
 
 SHINGLE = 5
@@ -155,6 +155,7 @@ def flipped_bits(one: bytes, other: bytes) -> int:
 
 def _described(size: int) -> Callable:
     def describe(batches) -> Iterator[pa.RecordBatch]:
+        own_memos("near_join")
         for batch in batches:
             n, names, rows, wide = [], [], [], []
             for text in batch.column(1):
@@ -183,6 +184,7 @@ def _joined(signatures: list[np.ndarray], names: list[np.ndarray]) -> pa.RecordB
 
 def _signed(size: int, percent: int) -> Callable:
     def sign(batches) -> Iterator[pa.RecordBatch]:
+        own_memos("near_join")
         levels, signed = Levels(percent), set()
         found, names, held = [], [], 0
         for batch in batches:
@@ -217,6 +219,7 @@ def _allowed(percent: int) -> Callable:
 
 def _compared(size: int, percent: int) -> Callable:
     def compare(batches) -> Iterator[pa.RecordBatch]:
+        own_memos("near_join")
         last, one = None, None
         for batch in batches:
             linked = []
@@ -235,6 +238,7 @@ def _compared(size: int, percent: int) -> Callable:
 
 def _classed(size: int) -> Callable:
     def classed(batches) -> Iterator[pa.RecordBatch]:
+        own_memos("near_join")
         for batch in batches:
             names = [_class(shingles(text.as_py(), size)) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(

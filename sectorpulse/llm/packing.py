@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import text_or_empty, written
+from sectorpulse.llm.common import own_memos, text_or_empty, written
 from sectorpulse.llm.encoding import word_level
 
 CAPACITY = 2048
@@ -110,6 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_colum
     end = end_id.to_bytes(4, "little")
 
     def cut(batches):
+        own_memos("words")
         encode, task = word_level(tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import Memo, sorted_unique, text_or_empty, without, written
+from sectorpulse.llm.common import Memo, own_memos, sorted_unique, text_or_empty, without, written
 
 BUCKETS = 1 << 20
 #: Lengths of the word beginnings that are features, besides whole words.
@@ -64,8 +64,8 @@ def _buckets(word: str) -> bytes:
     return _PACK(whole, *parts)
 
 
-#: Words a worker remembers, some 250 MB.
-WORDS = 1_000_000
+#: Words a worker remembers, some 100 MB.
+WORDS = 400_000
 
 
 @cache
@@ -88,6 +88,7 @@ BATCH_CHARS = 4_000_000
 
 def _counted(batches) -> Iterator[pa.RecordBatch]:
     """The counts of a task's texts in blocks of buckets; (text, is a target)."""
+    own_memos("quality")
     counts = np.zeros((len(_KINDS), BUCKETS), np.int64)
 
     def add(held: list, target: int) -> None:
@@ -190,6 +191,7 @@ SCORED = "id long, key long, clean boolean, toxic boolean, mean double, lowest d
 
 def _scored(shared):
     def score(batches) -> Iterator[pa.RecordBatch]:
+        own_memos("quality")
         counts, *shares = shared.value
         models = Models(counts.astype(np.float32), *shares)
         for batch in batches:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import MEMO_ENTRIES, text_or_empty
+from sectorpulse.llm.common import MEMO_ENTRIES, Memo, own_memos, text_or_empty
 from sectorpulse.llm.encoding import LATIN_END, library, words
 
 LIMIT = 2048
@@ -117,7 +117,7 @@ class Counter:
     """Token counts of texts; remembers those of runs met before."""
 
     def __init__(self, path: str):
-        self.merger, self.memo = merger(path), {}
+        self.merger, self.memo = merger(path), Memo()
 
     def __call__(self, texts: list[str]) -> list[int]:
         runs = [words(text) for text in texts]
@@ -155,6 +155,7 @@ def count(
     """(id, n_bytes, n_tokens, over_limit) of every row; a map, without a shuffle."""
 
     def counted(batches):
+        own_memos("counts")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             lo = held = 0

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import text_or_empty, written
+from sectorpulse.llm.common import own_memos, text_or_empty, written
 from sectorpulse.llm.encoding import byte_level
 
 MAGIC = b"DACTOK01"
@@ -139,6 +139,7 @@ def write(
     end = end_id.to_bytes(4, "little")
 
     def encode(batches):
+        own_memos("bytes")
         code, part = byte_level(tokenizer), TaskContext.get().partitionId()
         number, held, ids, tokens = 0, 0, [], []
         for batch in batches:

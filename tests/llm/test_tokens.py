@@ -132,3 +132,15 @@ def test_pack_rows(spark, frame):
         assert end <= 64
     assert len(sequences) <= 1.02 * total / 64 + 1
     assert packing.pack(frame([]), WORDS).collect() == []
+
+
+def test_a_worker_forgets_other_operators():
+    from sectorpulse.llm import common
+
+    common.own_memos("first")
+    memo = common.Memo(len, 2)
+    assert [memo[x] for x in ("a", "bb", "ccc", "a")] == [1, 2, 3, 1] and len(memo) == 2
+    common.own_memos("first")
+    assert len(memo) == 2
+    common.own_memos("second")
+    assert not memo and memo["dddd"] == 4
