@@ -1,21 +1,20 @@
-"""Operator 8, substring de-duplication by content-defined chunks.
+"""Operator 8, substring de-duplication by content-defined anchors and windows of words.
 
-A gear hash rolls over the bytes of every text; where its marked bits are zero a chunk ends, between
-``MIN_CHUNK`` and ``MAX_CHUNK`` bytes after its start. The hash looks back over 16 bytes only, so equal
-passages fall into equal chunks again soon after their beginning, wherever they stand. Chunks with equal
-digests are found by one aggregation, combined before the shuffle, so a line that every document has is
-no hot group. Neighbouring repeated chunks with the same partner and distance make a run; a run of at
-least ``anchor_words`` words is extended byte by byte against its partner's text, which also checks the
-digests, and counts if the whole passage has ``min_words`` words.
+A passage is a run of ``min_words`` whole words or more whose bytes, spaces included, stand between words
+of another document too. Every such run consists of windows of exactly ``min_words`` words, so the windows
+that several texts have give all passages, whatever else the texts around them share.
 
-The partner of a chunk is its first occurrence, or for that one its last. Equal texts are one text, named
-by a 64-bit hash: documents with copies have the whole text as their passage if it is long enough.
+Comparing all windows would cost a row for each word. Each window therefore has an anchor: the least gear
+hash over those of its word ends whose look-back lies inside the window. The anchor depends on the bytes of
+the window only, so equal windows have equal anchors, and neighbouring windows mostly share one. Anchors
+that several texts have are found by one aggregation, combined before the shuffle, and set bits in a table
+of fixed size. Windows whose bit is set get a digest of 128 bits; they are grouped by it, again combined
+before the shuffle, so a line that every document has is no hot group. Bits that meet by chance let windows
+through that the grouping drops; no passage is lost by the table.
 
-A passage is found if ``anchor_words`` of its words lie in whole chunks; chunks have 48 bytes on average,
-so of a passage of 50 words some fifteen are lost at its ends.
-
-Chunks are cut twice, once for their digests and once for the rows of repeated ones: that is cheaper than
-to keep them all. Only rows of repeated chunks are looked at further.
+Equal texts are one text, named by a 64-bit hash: documents with copies have the whole text as their
+passage if it is long enough. ``cut_points``, ``common_around`` and ``whole_words`` are helpers for chunks
+and ranges that ``passages`` does not need.
 
 Defined results: null and empty texts have no passages; an empty table gives an empty result; ids name
 and order documents, so rows that repeat an id have their passages each; a null id orders last;
@@ -32,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import BROADCAST_KEYS, text_or_empty, written
+from sectorpulse.llm.common import sorted_unique, text_or_empty, written
 
 MIN_CHUNK, MAX_CHUNK = 16, 128
 #: Bits of the gear hash that must be zero at an end; they depend on the last 16 bytes.
 END_BITS = np.uint32(0xF800)
-MIN_WORDS, ANCHOR_WORDS = 50, 15
+MIN_WORDS = 50
 
 #: A fixed random number for each byte value, from the digest of the byte.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], np.uint32)
@@ -81,33 +80,97 @@ def cut_points(data: bytes) -> list[int]:
     return ends
 
 
-CHUNKS = "id long, key long, seq int, start int, size int, words int, digest long"
-
-
-def _chunked(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-        counts, kept = [], []
-        for k, text in enumerate(batch.column("text")):
-            data = text.as_py().encode()
-            if not data:
-                continue
-            ends = cut_points(data)
-            starts = [0, *ends[:-1]]
-            digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts, ends, strict=True)]
-            n = len(ends)
-            words = np.add.reduceat(word_starts(np.frombuffer(data, np.uint8)).astype(np.int32), starts)
-            row = (np.arange(n), starts, np.diff(ends, prepend=0), words, np.array(digests, np.uint64).view(np.int64))
-            for column, values in zip(columns, row, strict=True):
-                column.append(np.asarray(values))
-            counts.append(n)
-            kept.append(k)
-        if kept:
-            rows = pa.array(np.repeat(kept, counts))
-            kinds = [*[pa.int32()] * 4, pa.int64()]
-            arrays = [batch.column("id").take(rows), batch.column("key").take(rows)]
-            arrays += [pa.array(np.concatenate(c)).cast(kind) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CHUNKS.split(", ")])
+#: Gear hashes of 64 bits: bit b depends on the last b + 1 bytes.
+GEAR64 = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+LOOK_BACK = 64
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words."""
+    space = np.concatenate([[True], _SPACE[data], [True]])
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+
+
+def anchors(data: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, anchors) of every window of ``min_words`` words; an anchor depends on its window's bytes only."""
+    starts, ends = word_bounds(data)
+    n = len(starts) - min_words + 1
+    if n <= 0:
+        return starts[:0], ends[:0], np.zeros(0, np.uint64)
+    # The shortest window has ``min_words`` letters and the spaces between them.
+    look_back = min(LOOK_BACK, 2 * min_words - 1)
+    h = GEAR64[data]
+    for step in (1, 2, 4, 8, 16, 32):
+        more = h[:-step] << np.uint64(step)
+        h[step:] += more
+    h = h[ends - 1] & np.uint64((1 << look_back) - 1)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    # The least hash over the word ends from ``left`` to the window's last, by tables over powers of two.
+    starts, last = starts[:n], np.arange(n) + min_words - 1
+    left = np.searchsorted(ends, starts + look_back)
+    level = np.frexp(last - left + 1)[1] - 1
+    found = np.empty(n, np.uint64)
+    for k in range(int(level.max()) + 1):
+        at = np.flatnonzero(level == k)
+        found[at] = np.minimum(h[left[at]], h[last[at] - (1 << k) + 1])
+        h = np.minimum(h[: -(1 << k)], h[1 << k :])
+    return starts, ends[last], found
+
+
+def _anchored(min_words: int):
+    def anchor(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted_unique(anchors(np.frombuffer(text.as_py().encode(), np.uint8), min_words)[2]) for text in batch.column("text")]
+            if counts := [len(x) for x in found]:
+                keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(found).view(np.int64))], ["key", "anchor"])
+
+    return anchor
+
+
+#: Bits of the table of repeated anchors: 16 MB.
+TABLE_BITS = 1 << 27
+_BLOCK_BITS = 1 << 15
+
+
+def anchor_table(repeated: DataFrame) -> np.ndarray:
+    """A bit for each anchor's low bits; a fixed number of blocks reaches the driver."""
+    bit = F.col("anchor").bitwiseAND(F.lit(TABLE_BITS - 1))
+    blocks = repeated.groupBy(F.floor(bit / _BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(bit % _BLOCK_BITS).alias("bits"))
+    table = np.zeros((TABLE_BITS // _BLOCK_BITS, _BLOCK_BITS // 8), np.uint8)
+    for row in blocks.collect():
+        table[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.ravel()
+
+
+WINDOWS = "id long, key long, word int, start int, end int, high long, low long"
+
+
+def _windowed(min_words: int, shared):
+    def window(batches) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            rows, parts, digests = [], [], []
+            for k, text in enumerate(batch.column("text")):
+                data = text.as_py().encode()
+                starts, ends, found = anchors(np.frombuffer(data, np.uint8), min_words)
+                bit = found & np.uint64(TABLE_BITS - 1)
+                words = np.flatnonzero(table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                if len(words):
+                    starts, ends = starts[words], ends[words]
+                    digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    parts.append((words, starts, ends))
+                    rows.append(np.full(len(words), k))
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                arrays = [batch.column("id").take(at), batch.column("key").take(at)]
+                arrays += [pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*parts, strict=True)]
+                pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                arrays += [pa.array(np.ascontiguousarray(pair[:, k])) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in WINDOWS.split(", ")])
+
+    return window
 
 
 def common_around(one: bytes, two: bytes, start: int, end: int, shift: int) -> tuple[int, int] | None:
@@ -133,103 +196,51 @@ def whole_words(data: bytes, start: int, end: int) -> tuple[int, int, int]:
     return int(first[0]), int(last[-1]), int((first < last[-1]).sum())
 
 
-SPANS = "key long, partner long, start long, end long, n_words long"
-
-
-def _extended(min_words: int):
-    def extend(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in (row for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
-                one, two = row["text"].encode(), row["other"].encode()
-                done: dict[int, int] = {}
-                for run in sorted(row["runs"], key=lambda r: r["start"]):
-                    if run["end"] <= done.get(run["shift"], 0):
-                        continue  # inside the passage of an earlier run
-                    around = common_around(one, two, run["start"], run["end"], run["shift"])
-                    if around is None:
-                        continue
-                    done[run["shift"]] = around[1]
-                    start, end, n = whole_words(one, *around)
-                    if n >= min_words:
-                        found.append((row["key"], row["partner"], start, end, n))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in zip(*found, strict=True)], [x.split()[0] for x in SPANS.split(", ")]
-                )
-
-    return extend
-
-
-def passages(
-    docs: DataFrame,
-    min_words: int = MIN_WORDS,
-    anchor_words: int = ANCHOR_WORDS,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
+def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, key, start, end, n_words, other_id, later) of every passage that another document has too.
 
-    Starts and ends are bytes; overlapping passages of a document are one, with the words of the longest.
-    ``later`` says that an earlier document, ``other_id``, has a part of it.
+    Starts and ends are bytes. ``later`` says that earlier documents have every byte of the range, otherwise
+    later ones (or others of the same id) have; a document can have a row of each kind for the same words.
+    Overlapping passages of a kind are one; ``n_words`` counts the words of the range and ``other_id`` has a
+    passage of it.
     """
     text = text_or_empty(text_column)
-    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    chunks = keyed.mapInArrow(_chunked, CHUNKS)
-    texts_with = chunks.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    digests = written(texts_with.where("lo != hi").select("digest"), "repeated-chunks")
-    small = digests.count() <= BROADCAST_KEYS
-    shared = written(chunks.join(F.broadcast(digests) if small else digests, "digest", "left_semi"), "shared-chunks")
-    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "start")
-    ends = written(shared.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")), "chunk-ends")
-    partner = F.when(F.col("key") == F.col("lo.key"), F.col("hi")).otherwise(F.col("lo"))
-    shared = shared.join(ends, "digest").withColumn("at", partner).where("key != at.key")
-    shared = shared.select(
-        "key", "seq", "start", "size", "words", F.col("at.key").alias("partner"), (F.col("start") - F.col("at.start")).alias("shift")
-    ).dropDuplicates(["key", "start"])
-    along = Window.partitionBy("key", "partner", "shift").orderBy("seq")
-    runs = (
-        shared.withColumn("run", F.col("seq") - F.row_number().over(along))
-        .groupBy("key", "partner", "shift", "run")
-        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"))
-        .where(F.col("words") >= anchor_words)
-        .groupBy("key", "partner")
-        .agg(F.collect_list(F.struct("shift", "start", "end")).alias("runs"))
-    )
-    runs = written(runs, "chunk-runs")
-    needed = runs.select(F.explode(F.array("key", "partner")).alias("key")).distinct()
-    small = needed.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = keyed.select("key", "text").join(F.broadcast(needed) if small else needed, "key", "left_semi")
-    texts = written(texts.dropDuplicates(["key"]), "run-texts")
-    pairs = runs.join(texts, "key").join(texts.toDF("partner", "other"), "partner")
-    spans = pairs.select("key", "partner", "runs", "text", "other").mapInArrow(_extended(min_words), SPANS)
-    spans = written(spans, "passages")
-
-    # Copies of whole texts, and the first document of each text.
+    keyed = docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    anchored = keyed.select("key", "text").mapInArrow(_anchored(min_words), "key long, anchor long")
+    texts_with = anchored.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    shared = docs.sparkSession.sparkContext.broadcast(anchor_table(texts_with.where("lo != hi").select("anchor")))
+    windows = written(keyed.mapInArrow(_windowed(min_words, shared), WINDOWS), "windows")
+    named = F.max(F.col("id").isNull()).alias("unnamed"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    holders = windows.groupBy("high", "low").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), *named)
+    # Written, so that the joins below have shuffles of their own whose hot keys can be split.
+    holders = written(holders.where("lo != hi").drop("lo", "hi"), "window-holders")
+    held = windows.withColumn("words", F.lit(min_words)).join(holders, ["high", "low"]).drop("high", "low")
+
+    # Copies of whole texts.
     n_words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    listed = written(keyed.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), n_words.cast("long").alias("n")), "listed")
-    first = listed.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("copies"))
-    # Written, so that the joins below have shuffles of their own whose hot texts can be split.
-    first = written(first, "text-copies")
-    spans = spans.join(first.select(F.col("key").alias("partner"), F.col("first_id").alias("other_id")), "partner")
-    found = listed.join(spans.select("key", "start", "end", "n_words", "other_id"), "key")
-    found = found.select("id", "key", "start", "end", "n_words", "other_id")
-    copies = listed.where(F.col("n") >= min_words).join(first.where("copies > 1"), "key")
-    other = F.when(F.col("id").eqNullSafe(F.col("first_id")), F.col("last_id")).otherwise(F.col("first_id"))
-    whole = copies.select("id", "key", F.lit(0).cast("long"), "n_bytes", "n", other)
-    every = found.union(whole)
-
-    earlier = Window.partitionBy("id", "key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy("id", "key").orderBy("start", "end")
-    apart = F.coalesce((F.col("start") > F.max("end").over(earlier)).cast("int"), F.lit(1))
+    listed = written(keyed.select("id", "key", F.lit(0).alias("word"), F.lit(0).alias("start"), F.octet_length("text").alias("end"), n_words.alias("words")), "listed")
+    copies = listed.groupBy("key").agg(*named, F.count(F.lit(1)).alias("copies"))
+    copies = written(copies.where("copies > 1").drop("copies"), "text-copies")
+    held = held.unionByName(listed.where(F.col("words") >= min_words).join(copies, "key"))
+
+    # Null ids order last.
+    before = F.coalesce(F.col("first_id") < F.col("id"), F.col("first_id").isNotNull())
+    after = F.col("id").isNotNull() & (F.col("unnamed") | (F.col("last_id") > F.col("id")))
+    last = F.when(~F.col("unnamed"), F.col("last_id"))
+    earlier = F.struct(F.lit(True).alias("later"), F.col("first_id").alias("other_id"))
+    other = F.struct(F.lit(False).alias("later"), last.alias("other_id"))
+    sides = F.when(before & after, F.array(earlier, other)).when(before, F.array(earlier)).otherwise(F.array(other))
+    every = held.select("id", "key", "word", "words", "start", "end", F.inline(sides))
+
+    order = Window.partitionBy("id", "key", "later").orderBy("start", "end")
+    apart = F.coalesce((F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     grouped = every.withColumn("apart", apart).withColumn("passage", F.sum("apart").over(order))
-    return grouped.groupBy("id", "key", "passage").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.max("n_words").alias("n_words"),
+    return grouped.groupBy("id", "key", "later", "passage").agg(
+        F.min("start").cast("long").alias("start"),
+        F.max("end").cast("long").alias("end"),
+        (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"),
         F.min("other_id").alias("other_id"),
-        F.coalesce(F.min("other_id") < F.col("id"), F.min("other_id").isNotNull()).alias("later"),
-    ).drop("passage")
+    ).select("id", "key", "start", "end", "n_words", "other_id", "later")
 
 
 def cut(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
