@@ -50,3 +50,15 @@ def test_stock_sentences_that_stand_elsewhere_first(frame):
     docs = [(k, " ".join(d)) for k, d in enumerate(docs)]
     expected = brute(docs)
     assert len(expected) >= 30 and reported(frame, docs) == expected
+
+
+def test_passages_of_just_fifty_words(frame):
+    docs = []
+    for longest in (1, 2, 4, 9, 40):
+        for n in (49, 50, 51, 60):
+            for _ in range(6):
+                passage = words(n, longest)
+                docs += [words(R.randint(0, 30)) + passage + words(R.randint(0, 30)) for _ in range(2)]
+    docs = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    expected = brute(docs)
+    assert len(expected) >= 180 and reported(frame, docs) == expected
