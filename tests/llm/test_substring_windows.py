@@ -62,3 +62,11 @@ def test_passages_of_just_fifty_words(frame):
     docs = [(k, " ".join(d)) for k, d in enumerate(docs)]
     expected = brute(docs)
     assert len(expected) >= 180 and reported(frame, docs) == expected
+
+
+def test_chain_of_overlapping_quotes_keeps_every_part_once(frame):
+    p, q, r = (" ".join(words(n)) for n in (60, 70, 80))
+    docs = [(1, f"{p} {q}"), (2, f"{p} {q} {r}"), (3, f"{q} {r}")]
+    assert reported(frame, docs) == brute(docs)
+    after = {x.doc_id: x.text.strip() for x in dedup.cut(frame(docs)).collect()}
+    assert after == {1: f"{p} {q}", 2: r, 3: ""}
