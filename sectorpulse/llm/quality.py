@@ -17,7 +17,8 @@ draw without replacement in proportion to the weights' exponentials. By default
 documents with a weight of zero or more. The noise is a hash of the row, so a repeated task draws alike,
 and the k-th key is found by histograms that narrow, not by a sort.
 
-Labelled rows are a hashed sample of ``LABELLED`` at most; the models and the sampling cover all rows.
+Origins and units come from a hashed sample of ``LABELLED`` labelled ids at most; the models count all
+labels, and the sampling covers all rows.
 
 Defined results: a text without words (null, empty) has no weight and is never drawn; without clean
 labels every text with words has weight 0; several labels of one id count as the worst; rows that repeat
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import Memo, own_memos, sorted_unique, text_or_empty, without, written
+from sectorpulse.llm.common import BROADCAST_KEYS, Memo, own_memos, sorted_unique, text_or_empty, without, written
 
 BUCKETS = 1 << 20
 #: Lengths of the word beginnings that are features, besides whole words.
@@ -174,18 +175,27 @@ def fit_models(rows: DataFrame) -> Models:
     return Models(counts, pair_target / max(1, pair_raw), text_target / max(1, text_raw))
 
 
-def labelled(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
-    """(id, clean, toxic) of a hashed sample of about ``limit`` labelled ids at most."""
+def verdicts(labels: DataFrame) -> DataFrame:
+    """(label_id, clean, toxic) of every labelled id."""
     ids = labels.groupBy(F.col("doc_id").alias("label_id")).agg(
         F.min(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")
     )
-    share = min(1.0, 0.98 * limit / max(1, ids.count()))
-    drawn = F.shiftrightunsigned(F.xxhash64("label_id", F.lit("labelled")), 11) / float(1 << 53) < share
-    return ids.where(F.col("label_id").isNotNull() & drawn).select(
+    return ids.where(F.col("label_id").isNotNull()).select(
         "label_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("clean"), (F.col("toxic") == 1).alias("toxic")
     )
 
 
+def _in_sample(label: Column, n_labels: int, limit: int) -> Column:
+    share = min(1.0, 0.98 * limit / max(1, n_labels))
+    return F.shiftrightunsigned(F.xxhash64(label, F.lit("labelled")), 11) / float(1 << 53) < share
+
+
+def labelled(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
+    """(label_id, clean, toxic) of a hashed sample of about ``limit`` labelled ids at most."""
+    marks = verdicts(labels)
+    return marks.where(_in_sample(F.col("label_id"), marks.count(), limit))
+
+
 SCORED = "id long, key long, clean boolean, toxic boolean, mean double, lowest double"
 
 
@@ -264,16 +274,18 @@ def resample(
     text_column: str = "text",
 ) -> DataFrame:
     """(id, key, mean, lowest, weight, gumbel_key, kept) of every row; ``key`` names id and text."""
-    marks = labelled(labels, labelled_rows)
+    marks = written(verdicts(labels), "labels")
+    n_labels = marks.count()
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"), _row_key(id_column, text_column).alias("key"))
-    # At most ``labelled_rows`` rows of 16 bytes.
-    rows = rows.join(F.broadcast(marks), F.col("id") == F.col("label_id"), "left").drop("label_id")
+    marked = rows.join(F.broadcast(marks) if n_labels <= BROADCAST_KEYS else marks, F.col("id") == F.col("label_id"), "left")
+    # Written beyond a size, so that texts are shuffled once for both passes.
+    rows = marked.drop("label_id") if n_labels <= BROADCAST_KEYS else written(marked.drop("label_id"), "marked-texts")
     models = fit_models(rows.select("text", F.coalesce("clean", F.lit(False)).alias("target")))
     # A fixed number of buckets: 32 MB.
     shared = docs.sparkSession.sparkContext.broadcast((models.counts, models.pairs_share, models.texts_share))
     scored = written(rows.select("id", "key", "clean", "toxic", "text").mapInArrow(_scored(shared), SCORED), "scored")
 
-    known = scored.where("clean IS NOT NULL AND mean IS NOT NULL").select("clean", "toxic", "mean", "lowest").toPandas()
+    known = scored.where("clean IS NOT NULL AND mean IS NOT NULL").where(_in_sample(F.col("id"), n_labels, labelled_rows)).select("clean", "toxic", "mean", "lowest").toPandas()
     clean, toxic = known[known.clean], known[known.toxic]
     mean_at, mean_unit = origin(clean["mean"].to_numpy(), known[~known.clean & ~known.toxic]["mean"].to_numpy())
     low_at, low_unit = origin(clean["lowest"].to_numpy(), toxic["lowest"].to_numpy())
