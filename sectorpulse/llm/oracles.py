@@ -76,10 +76,58 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
+#: crc32 of a decimal in ASCII, bit by bit; fixed values: its polynomial and its initial and last mask.
+CRC32 = """xor(4294967295, list_reduce(
+    list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda c, x: list_reduce(range(0, 8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, x)),
+    4294967295::BIGINT))"""
+
+PREFIX_TRIE = rf"""
+WITH turns AS (
+    SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+           len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM turns
+), members AS (
+    SELECT c, c - c % 20 AS base, {CRC32.format("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+    SELECT m.c, n.place, n.digest, n.words FROM members m JOIN numbered n ON n.c = m.base AND n.place < m.h
+    UNION ALL
+    SELECT m.c, n.place, n.digest, n.words FROM members m JOIN numbered n ON n.c = m.c AND n.place >= m.h
+), prefixes AS (
+    SELECT c, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS path, words FROM rebuilt
+    WINDOW w AS (PARTITION BY c ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    UNION ALL
+    SELECT c, 0, '', 0 FROM members
+), lengths AS (
+    SELECT c, max(depth) AS length FROM prefixes GROUP BY c
+), nodes AS (
+    SELECT path, any_value(depth) AS depth, min(p.c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+           string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (depth = length) AS ends, bool_and(depth = length) AS leaf
+    FROM prefixes p JOIN lengths l ON p.c = l.c GROUP BY path
+), below AS (
+    -- every node passes what it holds to the prefixes of its smallest member
+    SELECT p.path, sum(n.leaf::INT) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+    FROM nodes n JOIN prefixes p ON p.c = n.conv_id AND p.depth <= n.depth GROUP BY p.path
+), children AS (
+    SELECT left(path, (64 * (depth - 1))::BIGINT) AS parent, path FROM nodes WHERE depth > 0
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(k.n, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path
+LEFT JOIN children own ON own.path = n.path
+LEFT JOIN nodes up ON up.path = own.parent
+LEFT JOIN (SELECT parent, count(*) AS n FROM children GROUP BY parent) k ON k.parent = n.path
+"""
+
 ORACLES = {
     "op2_chat_format": CHAT,
     "op6_ngram_jaccard_join": NEAR_JOIN,
     "op7_warc": WARC,
     "op9_decontaminate": DECONTAMINATE,
     "op10_exact_dedup": EXACT_DEDUP,
+    "op11_prefix_trie": PREFIX_TRIE,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorpulse.llm import chat, decontaminate, exact_dedup, near_join, packing, quality, substring_dedup, token_counts, token_store, warc
+from sectorpulse.llm import (
+    alignment,
+    chat,
+    decontaminate,
+    exact_dedup,
+    near_join,
+    packing,
+    prefix_trie,
+    quality,
+    substring_dedup,
+    token_counts,
+    token_store,
+    toxicity,
+    warc,
+)
 from sectorpulse.llm.common import shared_folder, vocabulary, written
 
 
@@ -84,6 +98,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(_table(spark, sf_dir, "conversations"))
+    conversation = F.col("group")
+    n_head = F.crc32(conversation.cast("string").cast("binary")) % 4
+    trie = prefix_trie.build(*prefix_trie.rebuilt(turns, conversation - conversation % 20, n_head, most=3))
+    several = prefix_trie.ends_digests(trie.ends)
+    none, one = F.sha2(F.lit("").cast("binary"), 256), F.sha2(F.col("first_end").cast("string").cast("binary"), 256)
+    nodes = trie.nodes.where("n_ends <= 1").withColumn("ends_sha256", F.when(F.col("n_ends") == 0, none).otherwise(one))
+    nodes = nodes.unionByName(trie.nodes.where("n_ends > 1").join(several, "key"))
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    aligned = alignment.align_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return aligned.withColumnRenamed("id", "doc_id")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_chat_format": op2_chat_format,
@@ -95,4 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_toxicity": op13_toxicity,
 }
