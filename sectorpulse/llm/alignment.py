@@ -25,9 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorpulse.llm.common import written
-from sectorpulse.llm.encoding import ODD_SPACE
+from sectorpulse.llm.encoding import LATIN_END, MARKS, ODD_SPACE
 
 RUN_DOCS, RUN_RECORDS = 4096, 2_000_000
 PARTS, FAN_IN, SLICE, BLOCK = 64, 64, 64, 16_384
 #: Characters of a text that are encoded at once, at least; pieces a worker remembers, and their longest.
-CUT, REMEMBERED, LONGEST = 32_768, 150_000, 40
+CUT, REMEMBERED, LONGEST = 32_768, 250_000, 40
 #: Bits of an id of the second tokenizer in a pair.
 SECOND_BITS = 20
 
@@ -59,28 +61,31 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-@dataclass(frozen=True)
 class Tokens:
-    """``encode``: text -> ids of space + text. ``sizes``, ``pieces``: bytes of each id."""
+    """``encode``: texts -> ids of space + text each. ``pieces``, ``sizes``: bytes of each id and their number."""
 
-    encode: Callable[[str], list[int]]
-    pieces: list[bytes]
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes]):
+        self.encode, self.pieces = encode, pieces
+        self.sizes = np.array(list(map(len, pieces)))
+        # Decimals of ids with what may follow them.
+        self.decimals = {mark: np.array([b"%d%s" % (i, mark) for i in range(len(pieces))], object) for mark in (b",", b"|", b";")}
 
 
 @cache
 def byte_level(path: str) -> Tokens:
     """A byte-level vocabulary of the tokenizers library; its special strings are plain text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     symbols = byte_symbols()
-    size = tokenizer.get_vocab_size()
-    entries = [tokenizer.id_to_token(i) or "" for i in range(size)]
+    entries = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     pieces = [bytes(symbols[c] for c in e) if all(c in symbols for c in e) else e.encode() for e in entries]
 
-    def encode(text: str) -> list[int]:
-        return tokenizer.encode(" " + text, add_special_tokens=False).ids
+    def encode(texts: list[str]) -> list[list[int]]:
+        found = tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [x.ids for x in found]
 
     return Tokens(encode, pieces)
 
@@ -95,78 +100,105 @@ def pieces_level(path: str) -> Tokens:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         pieces.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Tokens(lambda text: model.encode(text, num_threads=1), pieces)
+    return Tokens(lambda texts: model.encode(texts, num_threads=1), pieces)
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """What space + text gives: numbers of tokens and groups, groups as text, linked pairs."""
+class Aligned(NamedTuple):
+    """What a text gives: numbers of tokens, groups and links, groups as text, linked pairs."""
 
     n_a: int
     n_b: int
     n_groups: int
+    n_links: int
     groups: bytes
     pairs: bytes
 
 
-def align(a: list[int], a_pieces: list[bytes], b: list[int], b_pieces: list[bytes], whole: bytes) -> Aligned | None:
-    """None if the tokens' bytes are not ``whole``."""
-    first, second = [a_pieces[i] for i in a], [b_pieces[i] for i in b]
-    if b"".join(first) != whole or b"".join(second) != whole:
-        return None
-    groups, pairs = [], []
-    i = j = left_a = left_b = 0
-    from_i = from_j = 0
-    while i < len(a):
-        # Tokens i and j begin at or before the same byte; left_* is what is left of them.
-        left_a, left_b = left_a or len(first[i]), left_b or len(second[j])
-        pairs.append(a[i] << SECOND_BITS | b[j])
-        step = min(left_a, left_b)
-        left_a, left_b = left_a - step, left_b - step
-        i, j = i + (not left_a), j + (not left_b)
-        if not left_a and not left_b:
-            groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-            from_i, from_j = i, j
-    return Aligned(len(a), len(b), len(groups), ";".join(groups).encode(), np.array(pairs, np.int64).tobytes())
+def align(a: Tokens, b: Tokens, a_ids: list[list[int]], b_ids: list[list[int]], wholes: list[bytes]) -> list[Aligned | None]:
+    """One for each of ``wholes``; None where the tokens' bytes are others.
+
+    All texts stand behind each other. Between two neighbouring ends of tokens of either side there is one token of
+    each, and those are linked; a group ends where both end.
+    """
+    good = [
+        b"".join(map(a.pieces.__getitem__, x)) == w == b"".join(map(b.pieces.__getitem__, y)) and bool(w)
+        for x, y, w in zip(a_ids, b_ids, wholes)
+    ]
+    chosen = [k for k, fine in enumerate(good) if fine]
+    if not chosen:
+        return [None] * len(wholes)
+    flat = [np.fromiter(chain.from_iterable(x[k] for k in chosen), np.int64) for x in (a_ids, b_ids)]
+    ends = [np.cumsum(t.sizes[x]) for t, x in zip((a, b), flat)]
+    every, common = np.union1d(*ends), np.intersect1d(*ends, assume_unique=True)
+    pairs = flat[0][np.searchsorted(ends[0], every)] << SECOND_BITS | flat[1][np.searchsorted(ends[1], every)]
+    pairs = pairs.astype(np.int64).tobytes()
+    texts, places = [], []
+    for k, (t, x, end) in enumerate(zip((a, b), flat, ends)):
+        group = np.searchsorted(common, end)
+        closes = common[group] == end
+        texts.append(np.where(closes, t.decimals[b";" if k else b"|"][x], t.decimals[b","][x]))
+        places.append(2 * group + k)
+    order = np.argsort(np.concatenate(places), kind="stable")
+    texts = np.concatenate(texts)[order].tolist()
+    stops = np.cumsum([len(wholes[k]) for k in chosen])
+    n_a, n_b, n_links, n_groups = (np.searchsorted(x, stops, "right").tolist() for x in (*ends, every, common))
+    out: list[Aligned | None] = [None] * len(wholes)
+    was = (0, 0, 0, 0)
+    for k, *now in zip(chosen, n_a, n_b, n_groups, n_links):
+        text = b"".join(texts[was[0] + was[1] : now[0] + now[1]])[:-1]
+        out[k] = Aligned(*[y - x for x, y in zip(was, now)], text, pairs[8 * was[3] : 8 * now[3]])
+        was = now
+    return out
 
 
 class Aligner:
-    """Aligns blocks of a text piece by piece, with a bounded memo of pieces.
+    """Aligns blocks of a text piece by piece, with a bounded memo of pieces: frequent ones come early and stay.
 
     ``path_a``: byte-level vocabulary, ``path_b``: sentencepiece vocabulary whose pieces hold a space only
-    at their beginning (or nothing but spaces) and no line feed; others are not cut at those places.
+    at their beginning (or nothing but spaces), no line feed, and no mark behind a letter; where one does, texts
+    are not cut at such places.
     """
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = byte_level(path_a), pieces_level(path_b)
-        inner = [x for x in self.b.pieces if b" " in x[1:] and x.strip(b" ")]
         self.cut_lines = not any(b"\n" in x and len(x) > 1 for x in self.b.pieces)
-        self.cut_blanks = not inner
+        self.cut_blanks = not any(b" " in x[1:] and x.strip(b" ") for x in self.b.pieces)
         self.memo: dict[str, Aligned | None] = {}
+        texts = [x.decode(errors="ignore") for x in self.b.pieces]
+        for mark in MARKS:
+            # As behind a letter: a byte of the second vocabulary may look alike.
+            ids = [t.encode(["a" + mark])[0][-1:] for t in (self.a, self.b)]
+            joined = any(mark in x[1:] and any(y.isalpha() for y in x[: x.rindex(mark)]) for x in texts)
+            (found,) = align(self.a, self.b, [ids[0]], [ids[1]], [mark.encode()])
+            if found and not joined:
+                self.memo[mark] = found
+        self.marks = frozenset(self.memo)
 
     def block(self, text: str) -> Aligned | None:
         """Space + ``text`` as one."""
-        whole = " " + text
-        return align(self.a.encode(text), self.a.pieces, self.b.encode(text), self.b.pieces, whole.encode())
-
-    def line(self, text: str) -> Aligned | None:
-        """A line feed + ``text``, which has no space before it."""
-        a, b = self.a.encode("\n" + text), self.b.encode("\n" + text)
-        # Both read a space first, as a token of its own; a line feed that takes it along is no place to cut.
-        if not a or not b or self.a.pieces[a[0]] != b" " or self.b.pieces[b[0]] != b" ":
-            return None
-        return align(a[1:], self.a.pieces, b[1:], self.b.pieces, ("\n" + text).encode())
-
-    def piece(self, key: str) -> Aligned | None:
-        """``key``: a piece behind its space or line feed."""
-        found = self.memo.get(key, self)
-        if found is self:
-            found = self.block(key[1:]) if key[0] == " " else self.line(key[1:])
-            if len(key) <= LONGEST:
-                if len(self.memo) >= REMEMBERED:
-                    self.memo.clear()
-                self.memo[key] = found
-        return found
+        return align(self.a, self.b, self.a.encode([text]), self.b.encode([text]), [(" " + text).encode()])[0]
+
+    def _made(self, keys: list[str]) -> list[Aligned | None]:
+        """Pieces behind their space or line feed."""
+        texts = [k[1:] if k[0] == " " else k for k in keys]
+        a, b = self.a.encode(texts), self.b.encode(texts)
+        for k, key in enumerate(keys):
+            if key[0] != " ":
+                # Both read a space first, as a token of its own; without it nothing is cut.
+                for ids, tokens in ((a, self.a), (b, self.b)):
+                    ids[k] = ids[k][1:] if ids[k] and tokens.pieces[ids[k][0]] == b" " else []
+        return align(self.a, self.b, a, b, [k.encode() for k in keys])
+
+    def pieces(self, keys: list[str]) -> list[Aligned | None]:
+        memo = self.memo
+        missing = [k for k in dict.fromkeys(keys) if k not in memo]
+        if not missing:
+            return list(map(memo.__getitem__, keys))
+        made = dict(zip(missing, self._made(missing)))
+        out = [made[k] if k in made else memo[k] for k in keys]
+        if len(memo) < REMEMBERED:
+            memo.update((k, x) for k, x in made.items() if len(k) <= LONGEST)
+        return out
 
     def blocks(self, text: str) -> Iterator[str]:
         """The text in blocks that follow a blank each (the first one the added space)."""
@@ -183,6 +215,7 @@ class Aligner:
 
     def parts(self, text: str) -> Iterator[list[Aligned | None]]:
         """The alignments of the text's pieces in order, block by block."""
+        marks = self.marks
         for block in self.blocks(text):
             around = f" {block} "
             odd = "  " in around or ODD_SPACE.search(block) or not self.cut_blanks
@@ -190,13 +223,17 @@ class Aligner:
                 odd = not self.cut_lines or "\n\n" in block or " \n" in around or "\n " in around
             if odd:
                 yield [self.block(block)]
-            else:
-                keys = []
-                for word in block.split(" "):
-                    first, *lines = word.split("\n")
-                    keys.append(" " + first)
-                    keys.extend(["\n" + x for x in lines])
-                yield list(map(self.piece, keys))
+                continue
+            keys = []
+            for piece in block.replace("\n", " \n").split(" "):
+                if piece[0] != "\n":
+                    piece = " " + piece
+                # A mark behind Latin letters is a token of its own in both.
+                if piece[-1] in marks and (letters := piece[1:-1]).isalpha() and max(letters) <= LATIN_END:
+                    keys += piece[:-1], piece[-1]
+                else:
+                    keys.append(piece)
+            yield self.pieces(keys)
 
 
 # -- runs ------------------------------------------------------------------------------------------
@@ -322,12 +359,10 @@ def _document(aligner: Aligner, text: str | None):
     for parts in aligner.parts(text):
         if None in parts:
             return none
-        digest.update((b";" if n_groups else b"") + b";".join([x.groups for x in parts]))
-        n_a += sum([x.n_a for x in parts])
-        n_b += sum([x.n_b for x in parts])
-        n_groups += sum([x.n_groups for x in parts])
-        links = np.frombuffer(b"".join([x.pairs for x in parts]), np.int64)
-        n_links += len(links)
+        a, b, new_groups, new_links, texts, pairs = zip(*parts)
+        digest.update((b";" if n_groups else b"") + b";".join(texts))
+        n_a, n_b, n_groups, n_links = n_a + sum(a), n_b + sum(b), n_groups + sum(new_groups), n_links + sum(new_links)
+        links = np.frombuffer(b"".join(pairs), np.int64)
         held.append(_counted(links, np.ones(len(links), np.int64)))
         if len(held) > 8:
             held = [_counted(*map(np.concatenate, zip(*held)))]
