@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorpulse.functions import times
-from sectorpulse.operators.filters import is_today, published
+from sectorpulse.operators.filters import of_today, published
 from sectorpulse.operators.score import ANALYSIS
 from sectorpulse.rules.defaults import OTHER_GROUP
 from sectorpulse.schema import NONE_LABEL, ROW_ID, is_event
@@ -28,7 +28,7 @@ def sentiment_counts(df: DataFrame, *by: str) -> DataFrame:
 def today_summary(df: DataFrame, selected_sectors: list[str], as_of) -> DataFrame:
     """Counts over today's rows of the selected sectors and of all event news."""
     scope = is_event() | F.col("sector").isin(list(selected_sectors))
-    return sentiment_counts(df.filter(scope & is_today(as_of)))
+    return sentiment_counts(of_today(df, as_of).filter(scope))
 
 
 def metadata(df: DataFrame) -> DataFrame:

@@ -21,6 +21,14 @@ def news_scope() -> list[Column]:
     return [is_event().cast("string"), F.when(is_event(), "").otherwise(F.col("sector"))]
 
 
+def news_keys(keep_fragment: bool = False) -> dict[str, Column]:
+    """Link and content, of which equal values tell the same story; blank ones tell nothing."""
+    return {
+        "link": text.link_key(F.col("link"), keep_fragment),
+        "content": text.text_key(F.col("content")),
+    }
+
+
 def select_news(
     df: DataFrame,
     partition_by: list[Column] = (),
@@ -29,10 +37,7 @@ def select_news(
     **options,
 ) -> Selection:
     """Decide for every row whether an earlier kept row already tells its story."""
-    exact = {
-        "link": text.link_key(F.col("link"), keep_fragment),
-        "content": text.text_key(F.col("content")),
-    }
+    exact = news_keys(keep_fragment)
     title = text.title_key(F.col("title"))
     if not fuzzy:
         exact["title"] = title

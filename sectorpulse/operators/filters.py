@@ -15,10 +15,24 @@ ALL_TIME, TODAY, THREE_DAYS, THIS_WEEK = "全部", "今天", "近 3 天", "本
 ALERT_HOURS = 24
 
 
+#: The partition column of a stored table (``sinks.table``): the date of the publish time.
+PUBLISH_DATE = "publish_date"
+
+
 def published() -> Column:
     return times.publish_ts(F.col("publish_time"))
 
 
+def dates_from(df: DataFrame, start: Column) -> DataFrame:
+    """On a stored table only the partitions of ``start``'s day and later; other frames as they are.
+
+    Dated rows published before that day go; the caller filters by time as well.
+    """
+    if PUBLISH_DATE not in df.columns:
+        return df
+    return df.filter(F.col(PUBLISH_DATE) >= F.to_date(start))
+
+
 def in_time_range(df: DataFrame, time_range: str, as_of) -> DataFrame:
     """Rows of a named range; rows without a readable time only pass the open range."""
     now = times.as_of_ts(as_of)
@@ -29,7 +43,8 @@ def in_time_range(df: DataFrame, time_range: str, as_of) -> DataFrame:
     }
     if time_range not in starts:
         return df
-    return df.filter(published() >= starts[time_range])
+    start = starts[time_range]
+    return dates_from(df, start).filter(published() >= start)
 
 
 def is_today(as_of) -> Column:
@@ -43,6 +58,16 @@ def in_last_hours(as_of, hours: int = ALERT_HOURS) -> Column:
     return F.coalesce(published() >= cutoff, F.lit(False))
 
 
+def last_day(df: DataFrame, as_of, hours: int = ALERT_HOURS) -> DataFrame:
+    """The partitions that ``in_last_hours`` or ``is_today`` can pass."""
+    return dates_from(df, times.hours_before(times.as_of_ts(as_of), hours))
+
+
+def of_today(df: DataFrame, as_of) -> DataFrame:
+    """Rows published on the day of ``as_of``."""
+    return dates_from(df, times.as_of_ts(as_of)).filter(is_today(as_of))
+
+
 def search(df: DataFrame, keyword: str = "", sources: list[str] = ()) -> DataFrame:
     """Free-text search (literal, case-folded) and source selection; both optional."""
     found = df
@@ -78,18 +103,25 @@ def sectors_matching(sectors: DataFrame, query: str) -> DataFrame:
     return sectors.filter(name | word)
 
 
+def retained(days: int, as_of) -> Column:
+    """What ``prune`` keeps; never NULL."""
+    cutoff = times.days_before(times.as_of_ts(as_of), days)
+    seen, got = published(), times.fetched_ts(F.col("fetched_at"))
+    return F.coalesce((seen >= cutoff) | (seen.isNull() & (got.isNull() | (got >= cutoff))), F.lit(False))
+
+
 def prune(df: DataFrame, days: int, as_of) -> DataFrame:
     """Retention by publish time, else by fetch time; rows with neither stay."""
     if days <= 0:
         return df
-    cutoff = times.days_before(times.as_of_ts(as_of), days)
-    seen, got = published(), times.fetched_ts(F.col("fetched_at"))
-    keep = (seen >= cutoff) | (seen.isNull() & (got.isNull() | (got >= cutoff)))
-    return df.filter(keep)
+    if PUBLISH_DATE in df.columns:
+        day = F.col(PUBLISH_DATE)
+        df = df.filter(day.isNull() | (day >= F.to_date(times.days_before(times.as_of_ts(as_of), days))))
+    return df.filter(retained(days, as_of))
 
 
 def push_worthy(df: DataFrame, as_of) -> DataFrame:
     """Recent rows that are policy news or of high impact."""
     record = F.col(ANALYSIS)
     important = (record["category"] == "policy") | (record["impact_level"] == "high")
-    return df.filter(in_last_hours(as_of) & important)
+    return last_day(df, as_of).filter(in_last_hours(as_of) & important)

@@ -43,7 +43,7 @@ class Selection:
     rounds: int
 
 
-def _key(scope: Column, kind: str, value: Column) -> Column:
+def scoped_key(scope: Column, kind: str, value: Column) -> Column:
     """16-byte identity of a key inside its partition; NULL for a blank value."""
     digest = F.unhex(F.md5(F.concat_ws("\x1f", scope, F.lit(kind), value)))
     return F.when(F.coalesce(value, F.lit("")) != "", digest)
@@ -62,7 +62,7 @@ def ranked_rows(
     its output is a total order that needs no per-partition counting.
     """
     scope = F.concat_ws("\x1f", *partition_by) if partition_by else F.lit("")
-    keys = {f"k_{name}": _key(scope, name, value) for name, value in exact.items()}
+    keys = {f"k_{name}": scoped_key(scope, name, value) for name, value in exact.items()}
     title_text = F.lit(None).cast("string") if title is None else title
     # Kept before the sort: a range sort reads its input twice, and texts are costly to normalise.
     prepared = cut_lineage(df.select(
@@ -79,7 +79,7 @@ def ranked_rows(
             ROW_ID,
             F.monotonically_increasing_id().alias("rank"),
             F.array_compact(F.array(*keys)).alias("keys"),
-            _key(F.col("p"), "similar", F.col("title")).alias("tk"),
+            scoped_key(F.col("p"), "similar", F.col("title")).alias("tk"),
             "p",
             "title",
         )

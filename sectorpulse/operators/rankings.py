@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sectorpulse.functions import times
 from sectorpulse.functions.text import title_key
-from sectorpulse.operators.filters import in_last_hours, is_today, published, push_worthy
+from sectorpulse.operators.filters import in_last_hours, is_today, last_day, of_today, published, push_worthy
 from sectorpulse.operators.increments import unpushed
 from sectorpulse.operators.leaders import Selection, assign_followers, select_leaders
 from sectorpulse.operators.score import ANALYSIS, hot_score, target_sectors
@@ -118,7 +118,7 @@ def hot_candidates(df: DataFrame, selected: list[str], as_of) -> DataFrame:
     related = F.lit(False)
     if chosen:
         related = F.arrays_overlap(target_sectors(), F.array(*[F.lit(s) for s in chosen]))
-    scored = df.withColumns(
+    scored = last_day(df, as_of).withColumns(
         {
             "_related": related,
             "is_today": is_today(as_of),
@@ -178,14 +178,14 @@ def alert_batch(df: DataFrame, history: DataFrame, as_of) -> DataFrame:
 
 def daily_report(df: DataFrame, as_of) -> DataFrame:
     """Leaders of the most important events of the last 24 hours."""
-    recent = df.filter(in_last_hours(as_of))
+    recent = last_day(df, as_of).filter(in_last_hours(as_of))
     return first_leaders(recent, by_importance(), REPORT_ITEMS, lambda rows: clusters(rows, []))
 
 
 def digest_input(df: DataFrame, selected: list[str], as_of) -> DataFrame:
     """Per selected sector today's most important rows, as one JSON list."""
     chosen = list(selected)[:DIGEST_SECTORS]
-    today = df.filter(is_today(as_of) & F.col("sector").isin(chosen))
+    today = of_today(df, as_of).filter(F.col("sector").isin(chosen))
     top = top_per(today, [F.col("sector")], DIGEST_ITEMS)
     item = F.struct(
         "place",

@@ -54,20 +54,21 @@ SAME_EVENT = Similarity(
 )
 
 
+def numbered(title: str) -> list[str]:
+    seen: dict[str, int] = {}
+    pieces = []
+    for first, second in zip(title, title[1:]):
+        piece = first + second
+        seen[piece] = seen.get(piece, 0) + 1
+        pieces.append(f"{piece}{seen[piece]}")
+    return pieces
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def numbered_pieces(titles: pd.Series) -> pd.Series:
     """Two-character pieces with a running number per repeat: 'abab' -> ab1, ba1, ab2."""
 
-    def number(title: str) -> list[str]:
-        seen: dict[str, int] = {}
-        pieces = []
-        for first, second in zip(title, title[1:]):
-            piece = first + second
-            seen[piece] = seen.get(piece, 0) + 1
-            pieces.append(f"{piece}{seen[piece]}")
-        return pieces
-
-    return titles.map(number)
+    return titles.map(numbered)
 
 
 def features(titles: DataFrame) -> DataFrame:
@@ -144,6 +145,36 @@ def postings(titles: DataFrame, kind: str, similarity: Similarity) -> DataFrame:
     )
 
 
+def may_resemble(titles: list[tuple[str, str]], similarity: Similarity = SAME_STORY):
+    """A test (scope, title) -> could the ratio to one of the given (scope, title) be reached.
+
+    Pieces are ordered by how often the given titles hold them, so those they do not hold come first and
+    the rarest pieces of most other titles meet nothing. Any one order loses no partner.
+    """
+    size, ratio = _prefix_size("ratio", similarity), similarity.ratio
+    held = [(scope, title, numbered(title)) for scope, title in titles]
+    count = Counter(piece for _, _, pieces in held for piece in pieces)
+
+    def prefix(title: str, pieces: list[str]) -> list[str]:
+        ordered = sorted(pieces, key=lambda piece: (count.get(piece, 0), piece))
+        return ordered[: max(0, size(len(ordered), len(title)))]
+
+    lengths: dict[tuple[str, str], set[int]] = {}
+    for scope, title, pieces in held:
+        for piece in prefix(title, pieces):
+            lengths.setdefault((scope, piece), set()).add(len(title))
+
+    def test(scope: str, title: str) -> bool:
+        own = len(title)
+        for piece in prefix(title, numbered(title)):
+            for other in lengths.get((scope, piece), ()):
+                if 2 * min(own, other) >= ratio * (own + other) - _EPS:
+                    return True
+        return False
+
+    return test
+
+
 def pair_load(posts: DataFrame, limits: list[int] | None = None) -> list[int]:
     """Candidate pairs if only titles first seen up to each limit took part (no limit: all)."""
     if limits is None:
