@@ -3,6 +3,7 @@ feature (top lists, trimmed history)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,9 @@ from sectorpulse.plans import display as display_plan
 from sectorpulse.plans import refresh
 from sectorpulse.rules import defaults
 from sectorpulse.rules.tables import groups_df, risk_family
+from sectorpulse.session import ensure_checkpoint_dir
 from sectorpulse.sinks import snapshot
+from sectorpulse.sinks.table import NewsTable
 from sectorpulse.sources import fanout, feeds, search
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -1259,6 +1262,17 @@ _REFRESHED = (
     f"""final AS (SELECT b.*, {S.publish_ts("b.publish_time")} AS p, try_cast(b.fetched_at AS TIMESTAMP) AS f
   FROM both_rows b JOIN g2 USING (row_id) JOIN kept k ON k.row_id = b.old_id WHERE g2.keep AND k.keep)""",
 )
+_OLD_FIRST, _OLD_REST = _KEPT_OLD.split(",\n", 1)
+_DELTA = (
+    *_MARK_SQL,
+    _OLD_FIRST.replace("held AS", "loaded AS"),
+    S.greedy("loaded", S.SCOPE, S.NEWEST_FIRST, S.news_keys(), "g1"),
+    "held AS (SELECT l.* FROM loaded l JOIN g1 USING (row_id) WHERE keep)",
+    _OLD_REST,
+    f"""both_rows AS (SELECT row_id, row_id AS old_id, {NEWS_COLS} FROM held
+  UNION ALL SELECT (SELECT max(row_id) + 1 FROM held) + row_id, row_id, {NEWS_COLS} FROM unseen)""",
+    *_REFRESHED[-2:],
+)
 _RECENT = f"(p >= {S.NOW} - INTERVAL 10 DAY OR (p IS NULL AND (f IS NULL OR f >= {S.NOW} - INTERVAL 10 DAY)))"
 
 
@@ -1284,6 +1298,22 @@ def incremental_counts_exact(spark, sf):
     return refresh.incremental_refresh(old, fetched, _config(False), AS_OF, 10).counts
 
 
+@query(
+    S.with_news(*_DELTA, recursive=True)
+    + f"SELECT row_id, title, sector, event_category, CAST(CAST(p AS DATE) AS VARCHAR) AS publish_date FROM final WHERE {_RECENT}"
+)
+def delta_refresh_exact(spark, sf):
+    """A batch merged into a stored table of date partitions; read back from its files."""
+    rows = news(spark, sf)
+    old, fetched = rows.filter(F.col("keyword") != "fr"), rows.filter(F.col("keyword") == "fr")
+    ensure_checkpoint_dir(spark)
+    table = NewsTable(spark, f"{spark.sparkContext.getCheckpointDir()}/news-{uuid.uuid4().hex}")
+    refresh.load_table(table, old, _config(False))
+    refresh.delta_refresh(table, fetched, _config(False), AS_OF, 10, batch=1)
+    day = F.col("publish_date").cast("string").alias("publish_date")
+    return table.read().select("row_id", "title", "sector", "event_category", day)
+
+
 @query()
 def incremental_refresh_counts(spark, sf):
     rows = news(spark, sf)
