@@ -38,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorpulse.llm.common import written
+from sectorpulse.llm.common import Memo, own_memos, written
 from sectorpulse.llm.encoding import LATIN_END, MARKS, ODD_SPACE
 
 RUN_DOCS, RUN_RECORDS = 4096, 2_000_000
 PARTS, FAN_IN, SLICE, BLOCK = 64, 64, 64, 16_384
 #: Characters of a text that are encoded at once, at least; pieces a worker remembers, and their longest.
-CUT, REMEMBERED, LONGEST = 32_768, 250_000, 40
+CUT, REMEMBERED, LONGEST = 32_768, 350_000, 40
 #: Bits of an id of the second tokenizer in a pair.
 SECOND_BITS = 20
 
@@ -163,7 +163,7 @@ class Aligner:
         self.a, self.b = byte_level(path_a), pieces_level(path_b)
         self.cut_lines = not any(b"\n" in x and len(x) > 1 for x in self.b.pieces)
         self.cut_blanks = not any(b" " in x[1:] and x.strip(b" ") for x in self.b.pieces)
-        self.memo: dict[str, Aligned | None] = {}
+        self.memo, self.fixed = Memo(entries=REMEMBERED), {}
         texts = [x.decode(errors="ignore") for x in self.b.pieces]
         for mark in MARKS:
             # As behind a letter: a byte of the second vocabulary may look alike.
@@ -171,8 +171,14 @@ class Aligner:
             joined = any(mark in x[1:] and any(y.isalpha() for y in x[: x.rindex(mark)]) for x in texts)
             (found,) = align(self.a, self.b, [ids[0]], [ids[1]], [mark.encode()])
             if found and not joined:
-                self.memo[mark] = found
-        self.marks = frozenset(self.memo)
+                self.fixed[mark] = found
+        self.marks = frozenset(self.fixed)
+        self.begin()
+
+    def begin(self) -> None:
+        """Called by a task: other operators' memos go, and what they may have emptied is put back."""
+        own_memos("alignment")
+        self.memo.update(self.fixed)
 
     def block(self, text: str) -> Aligned | None:
         """Space + ``text`` as one."""
@@ -378,11 +384,18 @@ def _counted(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs[at], np.add.reduceat(times, at) if len(times) else times
 
 
+@cache
+def aligner_of(path_a: str, path_b: str) -> Aligner:
+    """One for each worker, so that its memo outlives a task."""
+    return Aligner(path_a, path_b)
+
+
 def runs(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id") -> DataFrame:
     """Rows of documents (``part`` is null) and zstd runs of their pair-document records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
+        aligner = aligner_of(path_a, path_b)
+        aligner.begin()
         number = TaskContext.get().partitionId() << 32
         current = _Run(number)
         for batch in batches:
