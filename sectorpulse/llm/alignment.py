@@ -125,11 +125,22 @@ def align(a: Tokens, b: Tokens, a_ids: list[list[int]], b_ids: list[list[int]],
         for x, y, w in zip(a_ids, b_ids, wholes)
     ]
     chosen = [k for k, fine in enumerate(good) if fine]
-    if not chosen:
-        return [None] * len(wholes)
-    flat = [np.fromiter(chain.from_iterable(x[k] for k in chosen), np.int64) for x in (a_ids, b_ids)]
+    out: list[Aligned | None] = [None] * len(wholes)
+    if chosen:
+        flat = [np.fromiter(chain.from_iterable(x[k] for k in chosen), np.int64) for x in (a_ids, b_ids)]
+        for k, found in zip(chosen, _between(a, b, *flat, [len(wholes[k]) for k in chosen])):
+            out[k] = found
+    return out
+
+
+def _between(a: Tokens, b: Tokens, a_ids: np.ndarray, b_ids: np.ndarray, lengths: list[int]) -> list[Aligned] | None:
+    """Tokens of texts of those bytes behind each other; None if a text ends inside a token."""
+    flat = (a_ids, b_ids)
     ends = [np.cumsum(t.sizes[x]) for t, x in zip((a, b), flat)]
     every, common = np.union1d(*ends), np.intersect1d(*ends, assume_unique=True)
+    stops = np.cumsum(lengths)
+    if (common[np.minimum(np.searchsorted(common, stops), len(common) - 1)] != stops).any():
+        return None
     pairs = flat[0][np.searchsorted(ends[0], every)] << SECOND_BITS | flat[1][np.searchsorted(ends[1], every)]
     pairs = pairs.astype(np.int64).tobytes()
     texts, places = [], []
@@ -140,13 +151,11 @@ def align(a: Tokens, b: Tokens, a_ids: list[list[int]], b_ids: list[list[int]],
         places.append(2 * group + k)
     order = np.argsort(np.concatenate(places), kind="stable")
     texts = np.concatenate(texts)[order].tolist()
-    stops = np.cumsum([len(wholes[k]) for k in chosen])
     n_a, n_b, n_links, n_groups = (np.searchsorted(x, stops, "right").tolist() for x in (*ends, every, common))
-    out: list[Aligned | None] = [None] * len(wholes)
-    was = (0, 0, 0, 0)
-    for k, *now in zip(chosen, n_a, n_b, n_groups, n_links):
+    out, was = [], (0, 0, 0, 0)
+    for now in zip(n_a, n_b, n_groups, n_links):
         text = b"".join(texts[was[0] + was[1] : now[0] + now[1]])[:-1]
-        out[k] = Aligned(*[y - x for x, y in zip(was, now)], text, pairs[8 * was[3] : 8 * now[3]])
+        out.append(Aligned(*[y - x for x, y in zip(was, now)], text, pairs[8 * was[3] : 8 * now[3]]))
         was = now
     return out
 
@@ -185,7 +194,30 @@ class Aligner:
         return align(self.a, self.b, self.a.encode([text]), self.b.encode([text]), [(" " + text).encode()])[0]
 
     def _made(self, keys: list[str]) -> list[Aligned | None]:
-        """Pieces behind their space or line feed."""
+        """Pieces behind their space or line feed, encoded as one text: neither tokenizer joins them."""
+        order = sorted(range(len(keys)), key=lambda k: keys[k][0] != " ")
+        text = "".join([keys[k] for k in order])
+        lead = text[0] != " "
+        flat = []
+        for tokens in (self.a, self.b):
+            (ids,) = tokens.encode([text if lead else text[1:]])
+            # Both read a space first; before a line feed it is a token of its own.
+            if lead and ids and tokens.pieces[ids[0]] == b" ":
+                ids = ids[1:]
+            flat.append(ids)
+        whole = text.encode()
+        if all(b"".join(map(t.pieces.__getitem__, x)) == whole for t, x in zip((self.a, self.b), flat)):
+            lengths = [len(keys[k].encode()) for k in order]
+            found = _between(self.a, self.b, *[np.array(x, np.int64) for x in flat], lengths)
+            if found is not None:
+                out: list[Aligned | None] = [None] * len(keys)
+                for k, x in zip(order, found):
+                    out[k] = x
+                return out
+        return self._made_each(keys)
+
+    def _made_each(self, keys: list[str]) -> list[Aligned | None]:
+        """Where the bytes of some piece differ: each piece by itself."""
         texts = [k[1:] if k[0] == " " else k for k in keys]
         a, b = self.a.encode(texts), self.b.encode(texts)
         for k, key in enumerate(keys):
