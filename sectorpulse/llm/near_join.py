@@ -4,11 +4,14 @@ A document's set is that of its distinct word shingles. Two sets of sizes a and
 similarity of at least t % differ in at most (a + b)(100 - t) / (100 + t) shingles. Sizes fall into
 bands whose ends differ by that factor, so similar sets are in one band or in neighbouring ones; a set
 signs for its own band's level and for the next one. A level with at most k differences hashes the
-shingle domain into somewhat more than k + 1 parts. Sets that differ in k places agree on a whole part,
-and the signature is the hash of a part's shingles. A part where a set has no shingle says nothing: a
-set with more than k non-empty parts leaves such parts out, since one of the others must agree. The
-few that have not sign again with other parts, together (two sets that are both short of parts meet
-there, any other pair meets before), and in a last instance with their empty parts too.
+shingle domain into a little more than (k + 1) / 2 groups of three parts each and enumerates the subsets
+of two parts of every group: a signature is the hash of the shingles of such a subset. Of sets that
+differ in k places some group holds one difference at most, so two of its three parts agree and the
+sets share the signature of these two. A subset without a shingle says nothing and is left out: in a
+group with at least two non-empty parts no subset is empty, and a set with more than k / 2 such groups
+has one that must agree. The few that have not sign again with other groups, together (two sets that
+are both short of groups meet there, any other pair meets before), and in a last instance with their
+empty subsets too.
 
 Equal sets are one class, and only classes are compared:
 
@@ -16,7 +19,10 @@ Equal sets are one class, and only classes are compared:
 2. Links found make components. Only buckets that still hold several components matter further.
 3. There, classes of different components are compared. A sketch of 512 parity bits comes first: each
    differing shingle flips one bit, so sets whose sketches differ in more bits than the threshold
-   allows have no link. This is a bound, not a guess, and it is part of the join condition.
+   allows have no link. This is a bound, not a guess, and it is part of the join condition. A pair that
+   meets in many buckets is named by one of them: each row carries the preceding signatures of its
+   class (in the order of signatures), and a bucket passes over pairs that share one of those, since
+   they have met there.
 
 Pairs to compare also pass wider sketches, which grow with the sets, before their texts are fetched.
 
@@ -52,6 +58,10 @@ SKETCH_LONGS = 8
 #: Ids that are broadcast at most to pick texts (about 100 MB); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 INSTANCES = 3
+#: Parts of a group, and the two parts of each of its subsets.
+PARTS, FIRST, SECOND = 3, [0, 0, 1], [1, 2, 2]
+#: Preceding signatures of its class that a row of a mixed bucket carries.
+PRECEDING = 16
 
 U64 = np.uint64
 _MIX = U64(0x9E3779B97F4A7C15)
@@ -108,21 +118,27 @@ class Levels:
 
     def _level(self, hashes: np.ndarray, level: int) -> np.ndarray:
         k = self.differences(level)
-        n_parts = 1 if k == 0 else k + 3 + k // 20
+        groups = (k + 1) // 2 + 2
         out = []
         for instance in range(INSTANCES):
             if instance:
                 hashes = np.sort(_mixed(hashes + U64(instance)))
-            parts = ((hashes >> U64(32)) * U64(n_parts)) >> U64(32)
-            starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
             salt = np.atleast_1d(U64((level << 40) + (instance << 36))) * _MIX
-            sums = np.add.reduceat(_mixed(hashes ^ salt), starts)
-            out.append(_mixed(sums + parts[starts] * _MIX2 + salt))
-            if len(starts) > k:
+            if k == 0:
+                return _mixed(_mixed(hashes ^ salt).sum(keepdims=True) + salt)
+            parts = ((hashes >> U64(32)) * U64(groups * PARTS)) >> U64(32)
+            starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+            sums, filled = np.zeros(groups * PARTS, U64), np.zeros(groups * PARTS, bool)
+            sums[parts[starts]] = np.add.reduceat(_mixed(hashes ^ salt), starts)
+            filled[parts[starts]] = True
+            sums, filled = sums.reshape(groups, PARTS), filled.reshape(groups, PARTS)
+            places = np.arange(sums.size, dtype=U64).reshape(sums.shape)
+            found = _mixed(sums[:, FIRST] + sums[:, SECOND] + places * _MIX2 + salt)
+            says = filled[:, FIRST] | filled[:, SECOND]
+            enough = 2 * np.count_nonzero(filled.sum(axis=1) >= 2) > k
+            out.append(found[says] if enough or instance < INSTANCES - 1 else found.ravel())
+            if enough:
                 break
-            if instance == INSTANCES - 1:
-                empty = np.setdiff1d(np.arange(n_parts, dtype=U64), parts[starts])
-                out.append(_mixed(_mixed(empty * _MIX2 + salt) + salt))
         return np.concatenate(out)
 
 
@@ -290,6 +306,7 @@ def join(
         signatures.withColumns({"pivot": F.min("class").over(bucket), "top": F.max("class").over(bucket)})
         .where("pivot != top")
         .select("sig", "class", "pivot")
+        .distinct()  # a class whose copies several tasks met was signed by each
     )
     shared = written(shared, "near-buckets")
 
@@ -323,6 +340,8 @@ def join(
         .where("low != high")
         .select("sig", "class", "label")
     )
+    before = Window.partitionBy("class").orderBy("sig").rowsBetween(-PRECEDING, -1)
+    mixed = mixed.withColumn("before", F.collect_list("sig").over(before))
     mixed = written(mixed.join(classes.select("class", "n", *SKETCH), "class"), "near-mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
     across = (
@@ -330,6 +349,7 @@ def join(
         & (F.col("x.class") < F.col("y.class"))
         & (F.col("x.label") != F.col("y.label"))
         & _within("x", "y", percent)
+        & ~F.arrays_overlap("x.before", "y.before")
     )
     rest = x.join(y, across).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     labels = components(links.union(linked(rest)))

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sectorpulse.llm import near_join
-from sectorpulse.llm.components import components
+from sectorpulse.llm.common import written
+from sectorpulse.llm.components import _stars, components
 
 
 def brute(rows, size, percent):
@@ -54,6 +56,56 @@ def test_components_are_those_of_all_pairs(frame, size, percent):
     assert sorted(map(tuple, found)) == brute(rows, size, percent)
 
 
+def burst(seed, words=110, copies=90, others=120):
+    """One group of copies around the threshold that holds a third of all rows and more, outliers, and plain rows."""
+    r = random.Random(seed)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(words)]
+    rows = []
+    for k in range(copies):
+        text = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 8, 15])):
+            text[r.randrange(words)] = f"x{r.randint(0, 5000)}"
+        rows.append((k, " ".join(text)))
+    rows += [(1000 + k, " ".join(base[: words // 2] + [f"y{r.randint(0, 5000)}" for _ in range(words // 2)])) for k in range(20)]
+    rows += [(2000 + k, " ".join(f"z{r.randint(0, 5000)}" for _ in range(words))) for k in range(others)]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_a_group_of_a_third_of_all_rows_with_outliers(frame, percent):
+    rows = burst(percent)
+    found = sorted(map(tuple, near_join.join(frame(rows), 4, percent).collect()))
+    assert found == brute(rows, 4, percent)
+
+
+def test_a_pair_of_many_buckets_is_named_by_few(frame, monkeypatch):
+    kept = {}
+
+    def noted(df, name, **options):
+        kept.setdefault(name, []).append(written(df, name, **options))
+        return kept[name][-1]
+
+    monkeypatch.setattr(near_join, "written", noted)
+    near_join.join(frame(burst(3, words=240)), 4, 85).collect()
+    mixed = kept["near-mixed"][-1]
+    met = mixed.alias("x").join(mixed.alias("y"), "sig").where("x.class < y.class AND x.label != y.label")
+    once = met.where("NOT arrays_overlap(x.before, y.before)").select("x.class", "y.class")
+    pairs = met.select("x.class", "y.class").distinct().count()
+    # No pair is lost, and most meetings after the first are passed over.
+    assert 0 < pairs == once.distinct().count() <= once.count() < met.count() / 3
+
+
+def test_signatures_are_subsets_of_two_parts_of_three():
+    levels, hashes = near_join.Levels(85), np.sort(near_join._mixed(np.arange(1, 401).astype(np.uint64)))
+    band = levels.band(400)
+    most = sum(near_join.PARTS * ((levels.differences(x) + 1) // 2 + 2) for x in (band, band + 1))
+    found = levels.signatures(hashes)
+    assert most - 3 <= len(found) <= most and len(np.unique(found)) == len(found)
+    # One shingle more or less touches one part of one group a level: two of its three subsets.
+    assert len(np.setdiff1d(found, levels.signatures(hashes[1:]))) <= 4
+
+
 def test_similar_sets_share_a_signature():
     r = np.random.default_rng(1)
     for percent in (50, 80, 85, 100):
@@ -92,3 +144,13 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(300, 200), (200, 300), (7, 7)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert found == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 160)} | {200: 200, 300: 200}
+
+
+def test_dense_edges_come_out_as_stars(monkeypatch):
+    edges = [(a, b) for b in range(60) for a in range(b)] + [(100, 101), (5, 5)]
+    batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in edges[k : k + 100]]) for k in range(0, len(edges), 100)]
+    found = sorted((r["a"], r["b"]) for x in _stars(batches) for r in x.to_pylist())
+    assert found == [(0, k) for k in range(1, 60)] + [(100, 101)]
+    monkeypatch.setattr("sectorpulse.llm.components.JOINED_NODES", 10)
+    several = {(r["a"], r["b"]) for x in _stars(batches) for r in x.to_pylist()}
+    assert {b for _, b in several} == {*range(1, 60), 101} and several <= {(min(e), max(e)) for e in edges}
