@@ -20,7 +20,7 @@ Equal sets are one class, and only classes are compared:
 3. There, classes of different components are compared. A sketch of 512 parity bits comes first: each
    differing shingle flips one bit, so sets whose sketches differ in more bits than the threshold
    allows have no link. This is a bound, not a guess, and it is part of the join condition. A pair that
-   meets in many buckets is named by one of them: each row carries the preceding signatures of its
+   meets in many buckets is named by few of them: each row carries the preceding signatures of its
    class (in the order of signatures), and a bucket passes over pairs that share one of those, since
    they have met there.
 
