@@ -312,6 +312,22 @@ def keyword_failures(spark, sf):
     return errors.withColumn("nothing_worked", as_int("nothing_worked"))
 
 
+@query(
+    S.with_news(_HITS_SQL)
+    + f"""SELECT a.scope, a.name, count(*) AS keywords, count(f.keyword) AS failed,
+  CASE WHEN count(f.keyword) = 0 THEN 'ok' WHEN count(*) = count(f.keyword) THEN 'error' ELSE 'warning' END AS outcome
+FROM {_ASKED_SQL.replace("asked(", "a(")} LEFT JOIN (SELECT keyword FROM {_STATUS_SQL} GROUP BY keyword HAVING NOT bool_or(ok)
+  EXCEPT SELECT keyword FROM feedhits WHERE source = '财联社电报') f ON a.keyword = f.keyword
+GROUP BY ALL"""
+)
+def ingest_outcomes(spark, sf):
+    """What an ingest reports of every sector and category beside its rows."""
+    source, base = defaults.FEEDS["cls_telegraph"]
+    talk = feeds.feed_rows(_talk_feed(spark, sf), F.lit(source), F.lit(base))
+    failed = fanout.failed_keywords(_status(spark), feeds.match_keywords(talk, KEYWORDS))
+    return refresh.ingest_checked(_chosen(spark, sf), failed, _config(True), "2024-01-20T00:00:00Z").outcomes
+
+
 # --- projections ---------------------------------------------------------------------------------
 
 _DISPLAY_SQL = ", ".join(
@@ -861,6 +877,12 @@ def daily_report(spark, sf):
     return rankings.daily_report(scored_news(spark, sf), AS_OF).select("row_id", "title", "source")
 
 
+@query()
+def report_history(spark, sf):
+    """The alert history after the daily report was delivered."""
+    return rankings.report_and_history(scored_news(spark, sf), _history(spark, sf), AS_OF)[1]
+
+
 @query(
     S.with_news(
         S.score(LEXICON),
@@ -1233,6 +1255,57 @@ def verdict_filter(spark, sf):
     return verdicts.apply_verdicts(rows, _verdict_table(spark, sf, rows)).select("row_id")
 
 
+def _judged_event_rows(spark, sf):
+    """Event rows of the wire with their verdicts."""
+    rows = _wire_events(spark, sf)
+    return filters.event_rows(wire(spark, sf)), _verdict_table(spark, sf, rows)
+
+
+@query(
+    S.with_wire(
+        _WIRE_CLASSIFIED,
+        f"v AS (SELECT c.*, ({_GATE}) AS gated, l.quality, l.toxic FROM classified c LEFT JOIN labels l ON l.doc_id = c.row_id)",
+        """k AS (SELECT event_category AS name, CASE WHEN NOT matched THEN false WHEN NOT gated THEN true
+  WHEN quality IS NULL OR toxic = 1 THEN NOT (confidence < 0.75 OR score <= 1.25) ELSE quality = 1 AND row_id % 7 <> 0 END AS keep FROM v)""",
+    )
+    + """SELECT 'event' AS scope, name, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS dropped
+FROM k GROUP BY ALL"""
+)
+def refilter_verdict_counts(spark, sf):
+    """Kept and dropped rows of every category, with the verdicts on doubtful ones."""
+    rows, answers = _judged_event_rows(spark, sf)
+    return refilter.refilter_counts(rows, _RULES, SECTORS, verdicts=answers)
+
+
+_RAW_VERDICT_SQL = """SELECT doc_id, CASE doc_id % 6
+  WHEN 1 THEN '{"shouldKeep": "true", "category": "c", "confidence": 0.5, "reason": "r"}'
+  WHEN 2 THEN '{"shouldKeep": true, "category": ' || doc_id || ', "confidence": 0.5, "reason": "r"}'
+  WHEN 3 THEN '{"shouldKeep": true, "category": "c", "confidence": ' || (doc_id % 5) || ', "reason": "r"}'
+  WHEN 4 THEN '{"shouldKeep": true, "category": "c", "confidence": 0.5}'
+  WHEN 5 THEN '{broken'
+  ELSE '{"shouldKeep": ' || CASE WHEN quality = 1 THEN 'true' ELSE 'false' END || ', "category": " c' || (doc_id % 4)
+    || ' ", "confidence": 0.' || (doc_id % 9 + 1) || ', "reason": "ok"}' END AS raw FROM labels"""
+
+
+@query(
+    f"""WITH raws AS ({_RAW_VERDICT_SQL}),
+typed AS (SELECT doc_id, raw, coalesce(CASE WHEN json_valid(raw) THEN json_type(raw, '$.shouldKeep') = 'BOOLEAN'
+  AND json_type(raw, '$.category') = 'VARCHAR' AND json_type(raw, '$.reason') = 'VARCHAR'
+  AND json_type(raw, '$.confidence') IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+  AND CAST(json_extract_string(raw, '$.confidence') AS DOUBLE) BETWEEN 0 AND 1 END, false) AS valid FROM raws)
+SELECT doc_id, valid::INTEGER AS valid, CASE WHEN valid THEN (json_extract_string(raw, '$.shouldKeep') = 'true')::INTEGER END AS should_keep,
+  CASE WHEN valid THEN trim(json_extract_string(raw, '$.category')) END AS category,
+  CASE WHEN valid THEN CAST(json_extract_string(raw, '$.confidence') AS DOUBLE) END AS confidence FROM typed"""
+)
+def verdict_parsing(spark, sf):
+    """Answers with wrong types, missing fields, odd numbers or no JSON, parsed strictly."""
+    table(spark, sf, "labels").createOrReplaceTempView("labels")
+    parsed = spark.sql(_RAW_VERDICT_SQL).select("doc_id", verdicts.parse_verdict(F.col("raw")).alias("v"))
+    return parsed.select(
+        "doc_id", as_int("v.valid").alias("valid"), as_int("v.should_keep").alias("should_keep"), "v.category", "v.confidence"
+    )
+
+
 # --- plans ---------------------------------------------------------------------------------------
 
 def _config(fuzzy: bool) -> refresh.Config:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sectorpulse.functions import times
 from sectorpulse.functions.text import title_key
 from sectorpulse.operators.filters import in_last_hours, is_today, last_day, of_today, published, push_worthy
-from sectorpulse.operators.increments import unpushed
+from sectorpulse.operators.increments import append_history, unpushed
 from sectorpulse.operators.leaders import Selection, assign_followers, select_leaders
 from sectorpulse.operators.score import ANALYSIS, hot_score, target_sectors
 from sectorpulse.operators.similar import SAME_EVENT, SAME_STORY, Similarity
@@ -182,6 +182,13 @@ def daily_report(df: DataFrame, as_of) -> DataFrame:
     return first_leaders(recent, by_importance(), REPORT_ITEMS, lambda rows: clusters(rows, []))
 
 
+def report_and_history(df: DataFrame, history: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """The daily report, and the history once it is delivered: a reported story is no alert any more."""
+    report = cut_lineage(daily_report(df, as_of))
+    placed = report.orderBy(*by_importance()).withColumn("seq", F.monotonically_increasing_id())
+    return report, append_history(history, placed, limit=None)
+
+
 def digest_input(df: DataFrame, selected: list[str], as_of) -> DataFrame:
     """Per selected sector today's most important rows, as one JSON list."""
     chosen = list(selected)[:DIGEST_SECTORS]

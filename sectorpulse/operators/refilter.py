@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sectorpulse.functions.text import let, strip
 from sectorpulse.operators.classify import RESULT, classification, field_texts
-from sectorpulse.operators.verdicts import apply_verdicts
+from sectorpulse.operators.verdicts import KEPT, apply_verdicts, decided
 from sectorpulse.rules.tables import RuleSet, Sector, risk_family
 from sectorpulse.schema import evaluate_once, is_event
 
@@ -54,11 +54,16 @@ def refilter(
 
 
 def refilter_counts(
-    df: DataFrame, events: RuleSet, sectors: list[Sector] = (), families: RuleSet | None = None
+    df: DataFrame,
+    events: RuleSet,
+    sectors: list[Sector] = (),
+    families: RuleSet | None = None,
+    verdicts: DataFrame | None = None,
+    **versions: str,
 ) -> DataFrame:
-    """Kept and dropped rows per scope and name, under rules alone."""
-    tested = marked(df, events, sectors, families)
-    keep = ~F.col("ruled") | (F.col("known") & F.col(RESULT)["matched"])
+    """Rows per scope and name that ``refilter`` with the same arguments keeps and drops."""
+    tested = decided(marked(df, events, sectors, families), verdicts, exempt=~F.col("ruled"), **versions)
+    keep = F.col(KEPT) & (~F.col("ruled") | F.col("known"))
     return tested.groupBy("scope", "name").agg(
         F.count_if(keep).alias("kept"), F.count_if(~keep).alias("dropped")
     )

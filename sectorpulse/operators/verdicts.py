@@ -6,6 +6,7 @@ table only; everything else is column work and one join on the request key.
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Iterator
 
@@ -102,17 +103,29 @@ def with_key(df: DataFrame, **versions: str) -> DataFrame:
 def apply_verdicts(
     df: DataFrame, verdicts: DataFrame | None, exempt: Column | None = None, **versions: str
 ) -> DataFrame:
-    """Keep matched rows the verdicts agree with; ``verdicts`` is (validation_key, raw, error).
+    """Keep matched rows the verdicts agree with; ``verdicts`` is (validation_key, raw, error)."""
+    return decided(df, verdicts, exempt, **versions).filter(KEPT).select(*df.columns)
 
-    Rows outside the gate, or all of them when there is no verifier, stay on the rule's word and
+
+#: Column that says whether a row stays.
+KEPT = "_kept"
+
+
+def decided(
+    df: DataFrame, verdicts: DataFrame | None, exempt: Column | None = None, **versions: str
+) -> DataFrame:
+    """All rows with ``_kept``: does the row stay under rules and verdicts?
+
+    Rows outside the gate, or all of them when there is no verifier, are settled by the rules and
     do not travel to the join; ``exempt`` rows stay whatever the rules say.
     """
     exempt = F.lit(False) if exempt is None else exempt
-    matched = F.col(RESULT)["matched"]
+    by_rule = F.coalesce(exempt | F.col(RESULT)["matched"], F.lit(False))
     if verdicts is None:
-        return df.filter(exempt | matched)
-    settled = df.filter(exempt | (matched & ~needs_verdict()))
-    doubtful = with_key(df.filter(~exempt & matched & needs_verdict()), **versions)
+        return df.withColumn(KEPT, by_rule)
+    in_doubt = F.coalesce(~exempt & needs_verdict(), F.lit(False))
+    settled = df.filter(~in_doubt).withColumn(KEPT, by_rule)
+    doubtful = with_key(df.filter(in_doubt), **versions)
     known = verdicts.groupBy("validation_key").agg(F.max("raw").alias("raw"))
     answered = doubtful.join(known, "validation_key", "left")
     answered = evaluate_once(answered, _verdict=parse_verdict(F.col("raw")))
@@ -121,7 +134,7 @@ def apply_verdicts(
         (verdict["category"] == "") | (verdict["category"] == F.col(RESULT)["category"])
     )
     keep = F.when(F.coalesce(verdict["valid"], F.lit(False)), agrees).otherwise(~drops_on_failure())
-    return settled.unionByName(answered.filter(keep).select(*df.columns))
+    return settled.unionByName(answered.select(*df.columns, F.coalesce(keep, F.lit(False)).alias(KEPT)))
 
 
 def _shown(df: DataFrame, name: str, chars: int | None) -> Column:
@@ -162,11 +175,36 @@ def requests(
     return wanted.groupBy("validation_key").agg(first).select("validation_key", "first.*")
 
 
-def run_verifier(pending: DataFrame, verify: Callable[[dict, str, dict], object]) -> DataFrame:
-    """Call ``verify(news, category, evidence)`` per request; failures become error rows.
+#: Attributes of a verifier that enter the request key.
+VERSIONS = ("provider", "model", "prompt_version", "rule_version")
+
+
+def versions_of(verifier: object) -> dict[str, str]:
+    """The versions a verifier declares, for ``requests`` and ``apply_verdicts``; a bare callable has none."""
+    found = {name: getattr(verifier, name, None) for name in VERSIONS}
+    return {name: str(value) for name, value in found.items() if value}
+
+
+def _asking(verifier: object) -> Callable[[dict, str, dict], object]:
+    """``verifier`` as a function of news, category and evidence."""
+    if hasattr(verifier, "verify"):
+        return verifier.verify
+    try:
+        inspect.signature(verifier).bind({}, "", {})
+    except TypeError:
+        return lambda news, category, evidence: verifier(news, category)
+    return verifier
+
+
+def run_verifier(pending: DataFrame, verifier: object) -> DataFrame:
+    """Ask ``verifier`` once per request; failures become error rows.
 
-    Write the result next to the earlier verdicts, so that a retry asks nothing twice.
+    A verifier has a method ``verify(news, category, evidence)``, or is a callable of these three or
+    of (news, category). Give its ``versions_of`` to ``requests`` and ``apply_verdicts`` alike: answers
+    of another model are then asked for anew. Write the result next to the earlier verdicts, so that a
+    retry asks nothing twice.
     """
+    verify = _asking(verifier)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -22,7 +22,7 @@ from sectorpulse.rules.tables import RuleSet, Sector, default_sectors
 from sectorpulse.schema import EXTERNAL_EVENT, NEWS_COLUMNS, ROW_ID, SECTOR_NEWS, repair
 from sectorpulse.session import cut_lineage
 from sectorpulse.sinks.table import NewsTable, on_dates
-from sectorpulse.sources.fanout import fan_out, keyword_table
+from sectorpulse.sources.fanout import fan_out, keyword_table, outcomes
 
 RETENTION_DAYS = 30
 
@@ -81,6 +81,33 @@ def ingest(raw: DataFrame, config: Config, fetched_at: str) -> DataFrame:
     return config.refilter(repair(annotated.withColumns(blank)))
 
 
+class IngestError(RuntimeError):
+    """No keyword of any sector or category could be fetched."""
+
+
+@dataclass(frozen=True)
+class Ingested:
+    """New table rows, and per asking name (scope, name, keywords, failed, outcome) what became of its keywords."""
+
+    rows: DataFrame
+    outcomes: DataFrame
+
+
+def ingest_checked(raw: DataFrame, failed: DataFrame, config: Config, fetched_at: str) -> Ingested:
+    """``ingest`` that minds the ``failed`` keywords (``fanout.failed_keywords``).
+
+    A name with some failed keywords is a warning, one with nothing but failed keywords an error of its
+    own; the others go on. If every name is an error the run has failed and raises before rows are made,
+    so that the stored table stays as it is. What is collected is as large as the configuration.
+    """
+    asked = keyword_table(raw.sparkSession, config.sectors, config.events)
+    found = cut_lineage(outcomes(asked, failed))
+    if not found.isEmpty() and found.filter("outcome != 'error'").isEmpty():
+        names = [r["name"] for r in found.orderBy("scope", "name").collect()]
+        raise IngestError("nothing could be fetched for " + ", ".join(names))
+    return Ingested(ingest(raw, config, fetched_at), found)
+
+
 def full_refresh(fetched: DataFrame, config: Config, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     """A new table from fetched rows alone. Nothing fetched is a failed run, not an empty table."""
     if fetched.isEmpty():

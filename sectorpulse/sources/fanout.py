@@ -53,13 +53,18 @@ def fan_out(raw: DataFrame, asked: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(asked), "keyword")
 
 
-def keyword_errors(asked: DataFrame, failed: DataFrame) -> DataFrame:
-    """Failed keywords per asking name, and whether all of its keywords failed."""
-    marked = asked.join(failed.withColumn("failed", F.lit(True)), "keyword", "left")
+def outcomes(asked: DataFrame, failed: DataFrame) -> DataFrame:
+    """Per asking name its keywords, how many failed, and 'ok', 'warning' or 'error' (all failed)."""
+    marked = asked.join(failed.select("keyword").distinct().withColumn("failed", F.lit(True)), "keyword", "left")
     bad = F.coalesce(F.col("failed"), F.lit(False))
-    return (
-        marked.groupBy("scope", "name")
-        .agg(F.count(F.lit(1)).alias("keywords"), F.count_if(bad).alias("failed"))
-        .filter(F.col("failed") > 0)
-        .withColumn("nothing_worked", F.col("failed") == F.col("keywords"))
+    counted = marked.groupBy("scope", "name").agg(
+        F.count(F.lit(1)).alias("keywords"), F.count_if(bad).alias("failed")
     )
+    outcome = F.when(F.col("failed") == 0, "ok").when(F.col("failed") == F.col("keywords"), "error").otherwise("warning")
+    return counted.withColumn("outcome", outcome)
+
+
+def keyword_errors(asked: DataFrame, failed: DataFrame) -> DataFrame:
+    """Failed keywords per asking name, and whether all of its keywords failed."""
+    troubled = outcomes(asked, failed).filter(F.col("failed") > 0)
+    return troubled.select("scope", "name", "keywords", "failed", (F.col("outcome") == "error").alias("nothing_worked"))

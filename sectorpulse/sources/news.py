@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sectorpulse.schema import NEWS_SCHEMA, repair
@@ -17,3 +20,17 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return repair(spark.read.parquet(path))
+
+
+#: Conditions of a table that was never written, as opposed to one that cannot be read.
+_NEVER_WRITTEN = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
+
+def read_or_start(spark: SparkSession, path: str, read: Callable[[SparkSession, str], DataFrame] = read_parquet) -> DataFrame:
+    """The table at ``path``; an empty one if nothing was ever written there. Other failures raise."""
+    try:
+        return read(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() not in _NEVER_WRITTEN:
+            raise
+        return repair(spark.createDataFrame([], NEWS_SCHEMA))
