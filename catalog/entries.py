@@ -35,6 +35,7 @@ from sectorpulse.session import ensure_checkpoint_dir
 from sectorpulse.sinks import snapshot
 from sectorpulse.sinks.table import NewsTable
 from sectorpulse.sources import fanout, feeds, search
+from sectorpulse.sources import news as stored
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -312,20 +313,35 @@ def keyword_failures(spark, sf):
     return errors.withColumn("nothing_worked", as_int("nothing_worked"))
 
 
+_WORDS = sorted({k for _, _, k in _ASKED})
+_FOUND_SQL = f"""found AS (SELECT DISTINCT k.keyword FROM news n JOIN (VALUES {", ".join(f"({S.quote(k)})" for k in _WORDS)}) k(keyword)
+  ON contains({S.fold("n.title")}, {S.fold("k.keyword")}) OR contains({S.fold("n.content")}, {S.fold("k.keyword")})
+  WHERE n.sector IN ('en', 'es'))"""
+
+
 @query(
-    S.with_news(_HITS_SQL)
-    + f"""SELECT a.scope, a.name, count(*) AS keywords, count(f.keyword) AS failed,
-  CASE WHEN count(f.keyword) = 0 THEN 'ok' WHEN count(*) = count(f.keyword) THEN 'error' ELSE 'warning' END AS outcome
-FROM {_ASKED_SQL.replace("asked(", "a(")} LEFT JOIN (SELECT keyword FROM {_STATUS_SQL} GROUP BY keyword HAVING NOT bool_or(ok)
-  EXCEPT SELECT keyword FROM feedhits WHERE source = '财联社电报') f ON a.keyword = f.keyword
-GROUP BY ALL"""
+    S.with_news(_FOUND_SQL)
+    + f"""SELECT scope, name, keywords, failed, CASE WHEN failed = 0 THEN 'ok' WHEN failed = keywords THEN 'error' ELSE 'warning' END AS outcome
+FROM (SELECT a.scope, a.name, count(*) AS keywords, count(*) FILTER (WHERE f.keyword IS NULL) AS failed
+  FROM {_ASKED_SQL.replace("asked(", "a(")} LEFT JOIN found f ON a.keyword = f.keyword GROUP BY ALL)"""
 )
 def ingest_outcomes(spark, sf):
-    """What an ingest reports of every sector and category beside its rows."""
-    source, base = defaults.FEEDS["cls_telegraph"]
-    talk = feeds.feed_rows(_talk_feed(spark, sf), F.lit(source), F.lit(base))
-    failed = fanout.failed_keywords(_status(spark), feeds.match_keywords(talk, KEYWORDS))
-    return refresh.ingest_checked(_chosen(spark, sf), failed, _config(True), "2024-01-20T00:00:00Z").outcomes
+    """What an ingest reports of every sector and category: searches find English articles, feeds Spanish ones."""
+    rows, asked = news(spark, sf), fanout.keyword_table(spark, SECTORS, EVENTS)
+    worked = feeds.match_keywords(rows.filter("sector = 'en'"), _WORDS).select("keyword", F.lit(True).alias("ok")).distinct()
+    status = asked.select("keyword").distinct().join(worked, "keyword", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    failed = fanout.failed_keywords(status, feeds.match_keywords(rows.filter("sector = 'es'"), _WORDS))
+    return fanout.outcomes(asked, failed)
+
+
+@query(S.with_news() + "SELECT row_id, title, link, sector, content FROM news")
+def stored_table(spark, sf):
+    """A first start from a table that was never written, then a read of what the start wrote."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    nothing = stored.read_or_start(spark, path)
+    news(spark, sf).unionByName(nothing, allowMissingColumns=True).write.parquet(path)
+    return stored.read_or_start(spark, path).select("row_id", "title", "link", "sector", "content")
 
 
 # --- projections ---------------------------------------------------------------------------------
