@@ -131,11 +131,13 @@ def hot_candidates(df: DataFrame, selected: list[str], as_of) -> DataFrame:
 
 
 def first_leaders(
-    df: DataFrame, order: list[Column], n: int, select: Callable[[DataFrame], Selection]
+    held: DataFrame, order: list[Column], n: int, select: Callable[[DataFrame], Selection]
 ) -> DataFrame:
-    """The first ``n`` rows of ``df`` in ``order`` that lead, under ``select`` in that order."""
+    """The first ``n`` rows of ``held`` in ``order`` that lead, under ``select`` in that order.
+
+    ``held`` is read several times: cut it from its lineage.
+    """
     window = max(FIRST_WINDOW, 4 * n)
-    held = cut_lineage(df)
     total = held.count()
     while True:
         best = held.orderBy(*order).limit(window) if window < total else held
@@ -150,7 +152,7 @@ def hot_list(
     df: DataFrame, selected: list[str], as_of, limit: int = HOT_ITEMS
 ) -> tuple[DataFrame, bool]:
     """Best rows of today, topped up from the last 24 hours when today has too few."""
-    candidates = hot_candidates(df, selected, as_of)
+    candidates = cut_lineage(hot_candidates(df, selected, as_of))
     today = candidates.filter("is_today")
     fallback = False
     if today.limit(HOT_LEAST_TODAY).count() < HOT_LEAST_TODAY:
@@ -178,7 +180,7 @@ def alert_batch(df: DataFrame, history: DataFrame, as_of) -> DataFrame:
 
 def daily_report(df: DataFrame, as_of) -> DataFrame:
     """Leaders of the most important events of the last 24 hours."""
-    recent = last_day(df, as_of).filter(in_last_hours(as_of))
+    recent = cut_lineage(last_day(df, as_of).filter(in_last_hours(as_of)))
     return first_leaders(recent, by_importance(), REPORT_ITEMS, lambda rows: clusters(rows, []))
 
 
