@@ -37,12 +37,14 @@ def with_keys(df: DataFrame, keep_fragment: bool = False) -> DataFrame:
     scope = F.concat_ws("\x1f", *news_scope())
     title = text.title_key(F.col("title"))
     found = {**news_keys(keep_fragment), "title": title}
-    keys = [scoped_key(scope, name, value) for name, value in found.items()]
-    return df.withColumns({
+    # Values by name first, so that every text is normalised once.
+    named = df.withColumns({"_scope": scope, **{f"_{name}": value for name, value in found.items()}})
+    keys = [scoped_key(F.col("_scope"), name, F.col(f"_{name}")) for name in found]
+    return named.withColumns({
         "keys": F.array_compact(F.array(*keys)),
-        "story_title": F.coalesce(title, F.lit("")),
-        "story_link": F.coalesce(found["link"], F.lit("")),
-    })
+        "story_title": F.coalesce("_title", F.lit("")),
+        "story_link": F.coalesce("_link", F.lit("")),
+    }).drop("_scope", *[f"_{name}" for name in found])
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
