@@ -13,7 +13,11 @@ has one that must agree. The few that have not sign again with other groups, tog
 are both short of groups meet there, any other pair meets before), and in a last instance with their
 empty subsets too.
 
-Equal sets are one class, and only classes are compared:
+Equal sets are one class, and only classes are compared. Most have no partner, and a smaller table says so
+before anything is signed: similar sets of sizes a and b have at least t % of the larger one in common, so
+the smallest common hashes of both lie among the first (100 - t) % of either, and the next few common
+ones among as many more. A class joins in only if enough of those first hashes occur in other classes,
+which drops texts that share a few lines with others, and never a link. Then:
 
 1. In every bucket of equal signatures all classes are compared with the smallest one.
 2. Links found make components. Only buckets that still hold several components matter further.
@@ -41,7 +45,7 @@ that has another one; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache, reduce
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +64,8 @@ BROADCAST_IDS = 2_000_000
 INSTANCES = 3
 #: Parts of a group, and the two parts of each of its subsets.
 PARTS, FIRST, SECOND = 3, [0, 0, 1], [1, 2, 2]
+#: One in so many of the hashes a partner must have in common is asked for beyond the first.
+FURTHER = 20
 #: Preceding signatures of its class that a row of a mixed bucket carries.
 PRECEDING = 16
 
@@ -189,6 +195,27 @@ def _described(size: int) -> Callable:
     return describe
 
 
+def in_common(n: int, percent: int) -> int:
+    """Hashes that a set of ``n`` has in common with a similar one at least."""
+    return -(-percent * n // 100)
+
+
+def asked(n: int, percent: int) -> int:
+    """Hashes among the first ones of a set of ``n`` that a similar set has among its own first ones."""
+    return 1 + in_common(in_common(n, percent), percent) // FURTHER
+
+
+def first_hashes(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest of a set's sorted hashes.
+
+    A set has at most n - c hashes that a similar one lacks (c in common at least), so its smallest m common
+    ones are among its first n - c + m. Here m is 1 + c // FURTHER; of two similar sets the smaller one's m is
+    at least what ``asked`` says for the larger one, as its size is c of the larger one or more.
+    """
+    common = in_common(len(hashes), percent)
+    return hashes[: len(hashes) - common + 1 + common // FURTHER]
+
+
 #: Signatures of one Arrow batch, and classes a task remembers to sign only once.
 SIGNED_ROWS, SIGNED_CLASSES = 100_000, 1_000_000
 
@@ -198,10 +225,12 @@ def _joined(signatures: list[np.ndarray], names: list[np.ndarray]) -> pa.RecordB
     return pa.RecordBatch.from_arrays(columns, ["sig", "class"])
 
 
-def _signed(size: int, percent: int) -> Callable:
+def _signed(size: int, signatures: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """(sig, class): what ``signatures`` makes of the set of every class."""
+
     def sign(batches) -> Iterator[pa.RecordBatch]:
         own_memos("near_join")
-        levels, signed = Levels(percent), set()
+        signed = set()
         found, names, held = [], [], 0
         for batch in batches:
             for text in batch.column(1):
@@ -211,7 +240,7 @@ def _signed(size: int, percent: int) -> Callable:
                     continue
                 if len(signed) < SIGNED_CLASSES:
                     signed.add(name)
-                found.append(levels.signatures(hashes).view(np.int64))
+                found.append(signatures(hashes).view(np.int64))
                 names.append(np.full(len(found[-1]), name))
                 held += len(found[-1])
                 if held >= SIGNED_ROWS:
@@ -288,6 +317,23 @@ def _within(a: str, b: str, percent: int) -> Column:
     )
 
 
+def _buckets(texts: DataFrame, size: int, signatures: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(sig, class, pivot) where several classes have a signature; the pivot is the smallest of them."""
+    bucket = Window.partitionBy("sig")
+    signed = texts.mapInArrow(_signed(size, signatures), "sig long, class long")
+    both = signed.withColumns({"pivot": F.min("class").over(bucket), "top": F.max("class").over(bucket)})
+    # A class whose copies several tasks met was signed by each.
+    return both.where("pivot != top").select("sig", "class", "pivot").distinct()
+
+
+def partners(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, class) of the ``classes`` of ``texts`` whose first hashes allow a partner."""
+    met = _buckets(texts, size, partial(first_hashes, percent=percent)).groupBy("class").agg(F.count("sig").alias("met"))
+    least = F.udf(lambda n: asked(n, percent), "long")
+    found = classes.join(met, "class").where(F.col("met") >= least("n"))
+    return written(found.select("id", "class"), "near-partners")
+
+
 def join(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -300,15 +346,8 @@ def join(
     classes = known.groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "wide", *SKETCH)])
     classes = written(classes, "near-reps")
 
-    signatures = texts.mapInArrow(_signed(shingle, percent), "sig long, class long")
-    bucket = Window.partitionBy("sig")
-    shared = (
-        signatures.withColumns({"pivot": F.min("class").over(bucket), "top": F.max("class").over(bucket)})
-        .where("pivot != top")
-        .select("sig", "class", "pivot")
-        .distinct()  # a class whose copies several tasks met was signed by each
-    )
-    shared = written(shared, "near-buckets")
+    texts = written(_pick(texts, partners(texts, classes, shingle, percent), shingle), "near-texts")
+    shared = written(_buckets(texts, shingle, Levels(percent).signatures), "near-buckets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that have a link: wide sketches first, then whole texts."""
@@ -317,7 +356,7 @@ def join(
         pairs = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("n") + F.col("m")).alias("sizes"), "left", "right")
         pairs = written(pairs.mapInArrow(_allowed(percent), "a long, b long"), "near-pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        chosen = written(_pick(texts, classes.select("id", "class").join(needed, "class"), shingle), "near-texts")
+        chosen = written(texts.join(needed, "class", "left_semi"), "near-chosen")
         held = pairs.join(chosen.toDF("a", "left"), "a").join(chosen.toDF("b", "right"), "b")
         return written(held.select("a", "b", "left", "right").mapInArrow(_compared(shingle, percent), "a long, b long"), "near-links")
 
@@ -335,6 +374,7 @@ def join(
     named = shared.join(labels.toDF("class", "label"), "class", "left").select(
         "sig", "class", F.coalesce("label", "class").alias("label")
     )
+    bucket = Window.partitionBy("sig")
     mixed = (
         named.withColumns({"low": F.min("label").over(bucket), "high": F.max("label").over(bucket)})
         .where("low != high")

@@ -154,3 +154,32 @@ def test_dense_edges_come_out_as_stars(monkeypatch):
     monkeypatch.setattr("sectorpulse.llm.components.JOINED_NODES", 10)
     several = {(r["a"], r["b"]) for x in _stars(batches) for r in x.to_pylist()}
     assert {b for _, b in several} == {*range(1, 60), 101} and several <= {(min(e), max(e)) for e in edges}
+
+
+@pytest.mark.parametrize("size, percent", [(4, 85), (1, 50), (5, 80), (1, 3), (2, 100)])
+def test_similar_sets_have_first_hashes_in_common(size, percent):
+    sets = [near_join.shingles(text or "", size) for _, text in near_copies(7)]
+    first = [set(near_join.first_hashes(x, percent).tolist()) for x in sets]
+    linked = 0
+    for a, one in enumerate(sets):
+        for b, other in enumerate(sets):
+            both = len(np.intersect1d(one, other))
+            if a != b and both and 100 * both >= percent * (len(one) + len(other) - both):
+                linked += 1
+                assert len(first[a] & first[b]) >= near_join.asked(len(one), percent)
+    assert linked > 50
+
+
+def test_only_classes_that_may_have_a_partner_are_signed(frame):
+    """All texts were signed, some 200 rows each, though few have a partner (pipeline: disk)."""
+    r = random.Random(11)
+    line = " ".join(str(r.random()) for _ in range(12))
+    texts = [[str(r.random()) for _ in range(300)] for _ in range(40)]
+    rows = [(k, " ".join([*words, line])) for k, words in enumerate(texts)]
+    rows += [(100 + k, " ".join(["other", *texts[k]])) for k in range(3)]
+    docs = frame(rows).selectExpr("doc_id id", "text")
+    classes = docs.mapInArrow(near_join._described(5), near_join.CLASSES)
+    found = {r["id"] for r in near_join.partners(docs, classes, 5, 80).collect()}
+    assert found == {0, 1, 2, 100, 101, 102}
+    got = {r["id"]: r["component_id"] for r in near_join.join(frame(rows)).collect()}
+    assert got == {k: k % 100 for k, _ in rows}
