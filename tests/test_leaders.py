@@ -81,6 +81,25 @@ def test_chain_keeps_every_second_row(spark):
     assert got == {0, 2, 4}
 
 
+def test_long_chain_takes_few_rounds(spark):
+    """Each link of a chain cost a round, whose jobs are most of the time of small selections."""
+    rows = [(i, "g", float(-i), f"L{(i + 1) // 2}", "", f"T{i // 2}") for i in range(41)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    picked, got = leaders(df, ["link", "title"])
+    assert got == set(range(0, 41, 2))
+    assert picked.rounds <= 2
+    assert leaders(df.limit(9), ["link", "title"], tail_rows=0)[1] == set(range(0, 9, 2))
+
+
+@pytest.mark.parametrize("tail", [0, 25, 10**6])
+def test_tail_decides_as_rounds_do(spark, tail):
+    rows = random_rows(5, 40, 14, "abcdefgh", [6, 9, 12, 17, 25])
+    df = spark.createDataFrame(rows, SCHEMA)
+    _, got = leaders(df, ["link", "content"], title=F.col("title"), similarity=SAME_STORY, tail_rows=tail)
+    groups = partitions(rows).values()
+    assert got == set().union(*(scan(g, (3, 4, 5), lambda a, b: ratio(a, b) >= 0.88) for g in groups))
+
+
 @pytest.mark.parametrize("budget,block,hot", [(10**9, 4096, 10**6), (60, 4096, 10**6), (10**9, 3, 2)])
 def test_fuzzy_titles(spark, monkeypatch, budget, block, hot):
     monkeypatch.setattr(similar, "BLOCK_ROWS", block)
