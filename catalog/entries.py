@@ -31,7 +31,7 @@ from sectorpulse.plans import display as display_plan
 from sectorpulse.plans import refresh
 from sectorpulse.rules import defaults
 from sectorpulse.rules.tables import groups_df, risk_family
-from sectorpulse.session import ensure_checkpoint_dir
+from sectorpulse.session import cut_lineage, ensure_checkpoint_dir
 from sectorpulse.sinks import snapshot
 from sectorpulse.sinks.table import NewsTable
 from sectorpulse.sources import fanout, feeds, search
@@ -774,7 +774,7 @@ JACCARD_ONLY = Similarity(ratio=None, jaccard=defaults.CLUSTER_JACCARD)
 JOIN walk l ON l.p = w.p AND l.rn = w.leader"""
 )
 def event_clusters_jaccard(spark, sf):
-    rows = scored_news(spark, sf)
+    rows = cut_lineage(scored_news(spark, sf))
     picked = rankings.clusters(rows, dedupe.news_scope(), JACCARD_ONLY)
     return rankings.cluster_table(rows, picked).select("row_id", as_int("is_leader").alias("is_leader"), "leader_id")
 
@@ -782,7 +782,7 @@ def event_clusters_jaccard(spark, sf):
 @query()
 def event_clusters(spark, sf):
     """Jaccard or ratio; tested by brute force."""
-    rows = scored_news(spark, sf)
+    rows = cut_lineage(scored_news(spark, sf))
     picked = rankings.clusters(rows, dedupe.news_scope())
     return rankings.cluster_table(rows, picked).select("row_id", as_int("is_leader").alias("is_leader"), "leader_id")
 
@@ -800,7 +800,7 @@ def event_clusters(spark, sf):
     + "SELECT l.row_id, coalesce(c, 0) AS related_count, coalesce(shown, '') AS related FROM led l LEFT JOIN lst ON lst.leader_id = l.row_id WHERE is_leader"
 )
 def related_reports(spark, sf):
-    rows = scored_news(spark, sf)
+    rows = cut_lineage(scored_news(spark, sf))
     clustered = rankings.cluster_table(rows, rankings.clusters(rows, dedupe.news_scope(), JACCARD_ONLY))
     listed = rankings.related_reports(clustered)
     shown = F.transform("related", lambda r: F.concat(r["source"], F.lit("|"), r["publish_time"]))
