@@ -6,9 +6,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sectorpulse.llm import encoding, packing, token_counts, token_store
+from sectorpulse.llm import common, encoding, packing, token_counts, token_store
 
 BYTES, WORDS = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 PARTS = ["a", "B", "Σ", "ΑΣ", "é", "é", " ", "  ", "\n", "\n\n", "\t", "　", "\xa0", "\x1c", "\x85", "\x00"]
@@ -144,3 +145,31 @@ def test_a_worker_forgets_other_operators():
     assert len(memo) == 2
     common.own_memos("second")
     assert not memo and memo["dddd"] == 4
+
+
+def test_texts_reach_the_packer_in_bounded_batches(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    width, rows = 20_000, 2_000
+    docs = spark.range(rows, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), width // 3).alias("text"))
+    made = packing._batch
+
+    def counted(found, schema):
+        # One batch of pieces for each batch of texts.
+        sizes.add(1)
+        return made(found, schema)
+
+    monkeypatch.setattr(packing, "_batch", counted)
+    packed = packing.pack(docs, WORDS)
+    assert packed.select("id").distinct().count() == rows
+    assert sizes.value >= width * rows // (2 * common.BATCH_BYTES)
+
+
+def test_a_session_keeps_its_own_batch_size(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1m")
+        common.bound_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
