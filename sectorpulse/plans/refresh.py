@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sectorpulse.functions import times
 from sectorpulse.operators.aggregates import change_counts
-from sectorpulse.operators.dedupe import append_ids, dedupe, dedupe_news, merge
+from sectorpulse.operators.dedupe import append_ids, dedupe, dedupe_news, merge, with_story_keys
 from sectorpulse.operators.delta import merge_delta, settle, unseen, with_keys
 from sectorpulse.operators.events import annotate
 from sectorpulse.operators.filters import PUBLISH_DATE, prune, retained
@@ -129,7 +129,7 @@ def incremental_refresh(
 
     Pass the frame of a successful read as ``existing``: a failed read must raise before this.
     """
-    held = cut_lineage(config.refilter(existing))
+    held = cut_lineage(with_story_keys(config.refilter(existing), config.keep_fragment))
     unseen = new_links(held, fetched, config.keep_fragment)
     merged = merge(held, append_ids(held, unseen), config.fuzzy, keep_fragment=config.keep_fragment)
     table = cut_lineage(config.refilter(merged))

@@ -6,6 +6,8 @@ row order, so each order-sensitive operator breaks its ties with it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,11 +63,11 @@ def blank_to(column: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), default)
 
 
-def repair(df: DataFrame) -> DataFrame:
-    """Project any frame onto the news schema; a ``row_id`` column is carried when present."""
+def repair(df: DataFrame, carry: Sequence[str] = (ROW_ID,)) -> DataFrame:
+    """Project any frame onto the news schema; a ``row_id`` column (those of ``carry``) is carried when present."""
     columns = [text_or_blank(df, c).alias(c) for c in NEWS_COLUMNS]
     columns[0] = blank_to(text_or_blank(df, "news_type"), F.lit(SECTOR_NEWS)).alias("news_type")
-    carried = [F.col(ROW_ID)] if ROW_ID in df.columns else []
+    carried = [F.col(c) for c in carry if c in df.columns]
     return df.select(*carried, *columns)
 
 
@@ -108,9 +110,9 @@ def from_display(
     return repair(df.select(*carried, *columns))
 
 
-def combine(*frames: DataFrame) -> DataFrame:
+def combine(*frames: DataFrame, carry: Sequence[str] = (ROW_ID,)) -> DataFrame:
     """Union of repaired frames (missing columns become blank)."""
-    repaired = [repair(f) for f in frames]
+    repaired = [repair(f, carry) for f in frames]
     if not repaired:
         raise ValueError("combine() needs at least one frame")
     result = repaired[0]

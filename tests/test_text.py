@@ -108,3 +108,12 @@ def test_non_word_class(spark):
     sample = "".join(chr(c) for c in range(0x20, 0x870))
     got = run(spark, [sample], lambda c: F.regexp_replace(c, text.NON_WORD, ""))[0]
     assert got == re.sub(r"[\W_]+", "", sample)
+
+
+def test_strip_and_text_key_of_odd_white_space(spark):
+    spaces = [" ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000"]
+    values = [a + middle + b for middle in ("", "x y", "<a\n>Σ", "ΑΣ\x1fΣ &amp;<", "İ ẞ\u3000x") for a in ["", *spaces] for b in ["", *spaces]]
+    kept = [v.strip() for v in values]
+    assert run(spark, [*values, None], text.strip) == [*kept, None]
+    collapsed = run(spark, [*values, None], lambda c: F.regexp_replace(F.regexp_replace(text.fold(text.clean_text(c)), text.ANY_TAG, ""), text.NON_WORD, ""))
+    assert run(spark, [*values, None], text.text_key) == collapsed
