@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from sectorpulse.operators.aggregates import metadata
-from sectorpulse.operators.dedupe import dedupe_news
+from sectorpulse.operators.dedupe import STORY_KEYS, dedupe_news, with_story_keys
 from sectorpulse.operators.score import Lexicon, analyse
 from sectorpulse.plans.refresh import Config
 from sectorpulse.session import cut_lineage
@@ -22,6 +22,7 @@ class Display:
 
 
 def display(stored: DataFrame, config: Config, lexicon: Lexicon | None = None) -> Display:
-    held = cut_lineage(config.refilter(stored))
-    rows = analyse(dedupe_news(held, config.fuzzy, keep_fragment=config.keep_fragment), lexicon)
-    return Display(rows, metadata(held))
+    # Keys are made while the texts are read by the rules, and not by a pass of their own.
+    held = cut_lineage(with_story_keys(config.refilter(stored), config.keep_fragment))
+    kept = dedupe_news(held, config.fuzzy, keep_fragment=config.keep_fragment).drop(*STORY_KEYS.values())
+    return Display(analyse(kept, lexicon), metadata(held))
