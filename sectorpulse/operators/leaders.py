@@ -13,8 +13,9 @@ before each shuffle, and state is checkpointed so that a lost executor costs one
 than ``TAIL_ROWS`` rows with ``TAIL_EDGES`` edges between them are undecided, the scan itself decides
 them in a task of that bounded size, so long chains of a few rows cost no round for each link.
 
-Similar pairs are only looked up inside a rank window whose pair load stays within a budget. The
-rows a window keeps then remove their followers from all later rows, so beyond a window a burst of
+Similar pairs are only looked up inside a rank window. The first one's pair load stays within a budget;
+how much the next ones hold follows from what the last one kept, and from how many of its pairs were similar.
+The rows a window keeps then remove their followers from all later rows, so beyond a window a burst of
 near-identical titles costs one comparison each instead of all pairs. Windows change the schedule,
 never the result.
 """
@@ -32,8 +33,10 @@ from sectorpulse.operators.similar import Similarity, features, pair_load, simil
 from sectorpulse.schema import ROW_ID
 from sectorpulse.session import cut_lineage
 
-#: Pairs of titles of one scope that a window compares at most.
+#: Pairs of titles of one scope that the first window compares at most.
 PAIR_BUDGET = 50_000_000
+#: Similar pairs that a later window may be expected to hold.
+EDGE_BUDGET = 20_000_000
 HOT_KEY_ROWS = 1_000_000
 WINDOW_STEPS = 12
 #: Undecided rows, and edges between them, that one task scans at most (some 100 MB).
@@ -194,15 +197,22 @@ def _settle(
         return reduce(DataFrame.unionByName, kept_parts), len(kept_parts)
 
 
-def _window_limit(pending: DataFrame, titles: DataFrame, budget: int) -> int | None:
-    """Rank up to which the pair load fits the budget; None when everything fits."""
+def _window_limit(pending: DataFrame, titles: DataFrame, budget: int, share: float, most: float) -> tuple[int | None, int]:
+    """Rank up to which a window goes (None when everything fits) and its pair load.
+
+    Kept titles are compared with all later ones anyway, so a window may hold the ``share`` of the titles that the last
+    one kept without adding much work, as far as these are ``most`` pairs; and it may always hold ``budget`` pairs.
+    """
     left = titles.join(pending.select("tk").distinct(), "tk", "left_semi")
-    if pair_load(left)[0] <= budget:
-        return None
+    load = pair_load(left)[0]
+    allowed = max(budget, min(load if share >= 0.5 else share * share * load, most))
+    if load <= allowed:
+        return None, load
     shares = [2.0**-i for i in range(1, WINDOW_STEPS + 1)]
     limits = [int(x) for x in pending.approxQuantile("rank", shares, 1e-4)]
-    fitting = [limit for limit, load in zip(limits, pair_load(left, limits)) if load <= budget]
-    return max(fitting) if fitting else min(limits)
+    loads = list(zip(pair_load(left, limits), limits))
+    held, limit = max([found for found in loads if found[0] <= allowed], default=min(loads))
+    return limit, held
 
 
 def select_leaders(
@@ -245,8 +255,9 @@ def select_leaders(
                 F.max("rank").alias("last_rank"),
             )
         )
+        share, most = 0.0, 0.0
         while True:
-            limit = _window_limit(pending, titles, pair_budget)
+            limit, load = _window_limit(pending, titles, pair_budget, share, most)
             window = pending if limit is None else pending.filter(F.col("rank") <= limit)
             inside = titles
             if edge_parts or limit is not None:
@@ -259,10 +270,13 @@ def select_leaders(
             if limit is None:
                 break
             later = pending.filter(F.col("rank") > limit)
+            kept_titles = kept.filter(F.col("tk").isNotNull()).select("tk", "rank")
+            share = kept_titles.count() / max(1, inside.count())
+            most = EDGE_BUDGET * load / max(1, edges.count())
             across = similar_edges(
                 titles,
                 similarity,
-                leaders=kept.filter(F.col("tk").isNotNull()).select("tk", "rank"),
+                leaders=kept_titles,
                 others=later.select("tk").distinct(),
             )
             edge_parts.append(across)

@@ -58,3 +58,45 @@ def test_later_titles_get_one_edge_a_block():
     rows["tk"] = rows["title"].str.encode("utf-8")
     found = similar._block_edges(SAME_STORY, False)(rows)
     assert len(found) == len(later) and set(found["src"]) == {f"{base}39".encode()}
+
+
+def test_tiles_and_sides_lose_no_pair(monkeypatch):
+    """Blocks of several tiles, and two blocks of different size, against all pairs."""
+    rng = random.Random(6)
+    titles = sorted(set(_titles(rng, 14, "abcdefghijklmnop")) | set(_titles(rng, 4, "abc")))
+    rows = pd.DataFrame({
+        "side": [int(rng.random() < 0.3) for _ in titles], "tk": [t.encode() for t in titles], "title": titles,
+        "rank": rng.sample(range(len(titles)), len(titles)), "first_rank": 0, "last_rank": 1,
+    })
+    side = dict(zip(rows["tk"], rows["side"]))
+    rank = dict(zip(rows["tk"], rows["rank"]))
+    for tile, columns in ((1024, 4096), (32, 64)):
+        monkeypatch.setattr(similar, "TILE_ROWS", tile)
+        monkeypatch.setattr(similar, "GRAM_COLUMNS", columns)
+        for similarity in (SAME_STORY, SAME_EVENT):
+            test = Comparison(similarity)
+            takes = {(a.encode(), b.encode()) for a in titles for b in titles if a != b and test(a, b)}
+            both = {(a, b) for a, b in takes if side[a] != side[b]}
+            found = similar._block_edges(similarity, True)(rows)
+            assert set(zip(found["src"], found["dst"])) == both and both
+            onward = {}
+            for a, b in both:
+                if side[a] == 0 and rank[a] < rank[onward.get(b, a)] or b not in onward and side[a] == 0:
+                    onward[b] = a
+            found = similar._block_edges(similarity, False)(rows)
+            assert dict(zip(found["dst"], found["src"])) == onward and len(found) == len(onward)
+
+
+def test_pairs_of_long_titles_are_not_compared_one_by_one(monkeypatch):
+    """Unlike titles of few letters share nearly all pieces of two characters, and each pair was compared by itself."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices(["th", "er", "on", "an", "in", "ti", "es", "re"], k=rng.choice([1, 2, 3]))) for _ in range(300)]
+    for words_each in (22, 60):
+        titles = ["".join(rng.choices(words, k=words_each)) for _ in range(200)]
+        rows = pd.DataFrame({
+            "side": 0, "tk": [t.encode() for t in titles], "title": titles, "rank": 0, "first_rank": 0, "last_rank": 1,
+        })
+        tested = []
+        monkeypatch.setattr(Comparison, "__call__", lambda self, a, b: tested.append((a, b)) or False)
+        similar._block_edges(SAME_STORY, True)(rows)
+        assert len(tested) < 200 * 199 / 50
