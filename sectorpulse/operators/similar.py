@@ -39,8 +39,8 @@ MOST_TASKS = 2000
 TILE_ROWS, TILE_CHARS = 1024, 512
 #: Columns of frequent pieces, and those that all others share.
 OWN_COLUMNS, SHARED_COLUMNS = 4096, 1024
-#: Columns of hashed longer pieces for titles of TILE_CHARS, and for the longest.
-GRAM_COLUMNS, MOST_COLUMNS = 4096, 1 << 17
+#: Columns of hashed longer pieces, by the size of the titles; with more than so many a tile has fewer rows.
+LEAST_COLUMNS, MOST_COLUMNS, TILE_COLUMNS = 512, 1 << 17, 4096
 #: Sizes of those pieces, and the part of its pieces that a title has to share.
 GRAM_SIZES, GOOD_PART = (5, 3), 0.25
 #: Characters are counted in so many bins; sizes of the pieces that are counted for a single pair.
@@ -351,10 +351,11 @@ class Meeting:
         self.titles = titles = left + (right or [])
         self.chars = np.array([len(t) for t in titles])
         self.start = 0 if right is None else len(left)
-        longest = max(1, int(np.quantile(self.chars, 0.9)))
-        doubled = max(0, math.ceil(math.log2(longest / TILE_CHARS)))
-        self.width = min(MOST_COLUMNS, GRAM_COLUMNS << doubled)
-        self.tile = max(min(16, TILE_ROWS), TILE_ROWS * GRAM_COLUMNS // self.width)
+        # Short titles share more of their pieces by chance, where a product must not add many by hashing.
+        short, long = np.quantile(self.chars, (0.05, 0.9))
+        wanted = max(4 * long, 16 * min(long, POPULAR_FROM) if short < POPULAR_FROM else 0)
+        self.width = min(MOST_COLUMNS, max(LEAST_COLUMNS, 1 << math.ceil(math.log2(wanted))))
+        self.tile = max(min(16, TILE_ROWS), min(TILE_ROWS, TILE_ROWS * TILE_COLUMNS // self.width))
         self.overlaps = similarity.jaccard is not None or bool(similarity.ratio_jaccard)
         self.lefts = self._tiles(0, len(left))
         self.rights = self.lefts if right is None else self._tiles(len(left), len(titles))
@@ -362,6 +363,8 @@ class Meeting:
         self.exact = True
         if self.overlaps:
             owner, column, self.n, width, self.exact = _piece_table(titles)
+            if similarity.jaccard is not None:
+                self.needed = self._needed(similarity.jaccard, 2 * int(self.n.max()))
             ends = np.searchsorted(owner, [i for tile in tiles for i in tile])
             self.pieces = {
                 (low, high): np.bincount(
@@ -391,49 +394,59 @@ class Meeting:
         """Of two tiles: which pairs are similar for sure by pieces (a table), and pairs still to be tested."""
         similarity, (a, b), (c, d) = self.similarity, i, j
         upper = np.triu(np.ones((b - a, d - c), bool), 1) if within and i == j else None
-        sure, maybe, overlap = None, [], None
-        if self.overlaps:
-            shared = self.pieces[i] @ self.pieces[j].T
-            n, m = self.n[a:b].astype(np.float32), self.n[c:d].astype(np.float32)
-            if not self.exact:
-                shared = np.minimum(shared, np.minimum.outer(n, m))
-            overlap = (shared, np.add.outer(n, m))
-        if similarity.jaccard is not None:
-            sure = self._overlapping(overlap, similarity.jaccard)
+        sure, tested = np.zeros((b - a, d - c), bool), []
+        by_ratio = similarity.ratio is not None and self._sizes_meet(self.chars, i, j, similarity.ratio / (2 - similarity.ratio))
+        shared = self.pieces[i] @ self.pieces[j].T if self.overlaps else None
+        if similarity.jaccard is not None and self._sizes_meet(self.n, i, j, similarity.jaccard):
+            reached = shared >= self.needed[np.add.outer(self.n[a:b], self.n[c:d])]
             if upper is not None:
-                sure &= upper
-            if not self.exact:
-                maybe.append(np.nonzero(sure))
-                sure = None
-        if similarity.ratio is not None:
-            r, steps = similarity.ratio, self.size - 1
-            x, y = self.chars[a:b].astype(np.float32), self.chars[c:d].astype(np.float32)
-            total = np.add.outer(x, y)
-            blocks = np.minimum((1 - r) * total, np.maximum.outer(self.starters[a:b], self.starters[c:d]).astype(np.float32)) + 1
-            close = self.grams[i] @ self.grams[j].T >= r / 2 * total - steps * blocks - 0.1 - 1e-5 * total
-            share = r / (2 - r) * (1 - 1e-6)
-            close &= np.greater_equal.outer(x, share * y) & np.less_equal.outer(share * x, y)
-            if overlap is not None and similarity.ratio_jaccard:
-                close &= self._overlapping(overlap, similarity.ratio_jaccard)
+                reached &= upper
+            if self.exact:
+                sure = reached
+            else:
+                tested.append(np.nonzero(reached))
+        if by_ratio:
+            close = self.grams[i] @ self.grams[j].T >= self._wanted(i, j)
             if upper is not None:
                 close &= upper
-            if sure is not None:
-                close &= ~sure
-            elif maybe:
-                close[maybe[0]] = False
-            maybe.append(self._in_order(*self._near(*np.nonzero(close), a, c), a, c))
-        found = [np.concatenate([m[k] for m in maybe]) if maybe else np.zeros(0, int) for k in (0, 1)]
-        return sure if sure is not None else np.zeros((b - a, d - c), bool), np.array(found)
+            for more in (sure, *tested):
+                close[more] = False
+            x, y = np.nonzero(close)
+            r, first, second = similarity.ratio, self.chars[x + a], self.chars[y + c]
+            kept = 2 * np.minimum(first, second) >= r * (first + second) - _EPS
+            if similarity.ratio_jaccard:
+                both = np.minimum(shared[x, y], np.minimum(self.n[x + a], self.n[y + c])).astype(np.float64)
+                kept &= both / (self.n[x + a] + self.n[y + c] - both) >= similarity.ratio_jaccard
+            tested.append(self._in_order(*self._near(x[kept], y[kept], a, c), a, c))
+        return sure, np.array([np.concatenate([np.zeros(0, int), *[t[k] for t in tested]]) for k in (0, 1)])
+
+    def _wanted(self, i: tuple[int, int], j: tuple[int, int]) -> np.ndarray:
+        """How many hashed pieces titles of two tiles share at least, if their ratio can be reached."""
+        r, steps = self.similarity.ratio, self.size - 1
+        x, y = self.chars[slice(*i)], self.chars[slice(*j)]
+        # By the characters that are not matched, in halves for either title; less than a piece for rounding.
+        halves = [((r / 2 - steps * (1 - r)) * side - steps / 2 - 0.1).astype(np.float32) for side in (x, y)]
+        wanted = np.add.outer(*halves)
+        if max(x.max(), y.max()) >= POPULAR_FROM:
+            halves = [(r / 2 * side - steps / 2 - 0.1).astype(np.float32) for side in (x, y)]
+            starts = [(steps * self.starters[slice(*tile)]).astype(np.float32) for tile in (i, j)]
+            np.maximum(wanted, np.add.outer(*halves) - np.maximum.outer(*starts), out=wanted)
+        return wanted
+
+    @staticmethod
+    def _needed(least: float, most: int) -> np.ndarray:
+        """By the sum of two titles' pieces: how many they share at least, if the overlap (in doubles) is reached."""
+        total = np.arange(most + 1, dtype=np.float64)
+        needed = np.ceil(least * total / (1 + least)) + 1
+        for _ in range(3):
+            fewer = np.maximum(needed - 1, 0)
+            needed = np.where((total > 0) & (fewer / np.maximum(total - fewer, 1) >= least), fewer, needed)
+        return needed.astype(np.float32)
 
     @staticmethod
-    def _overlapping(overlap: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-        """Where the quotient of shared and all pieces reaches ``least``, in the doubles it is defined by."""
-        shared, total = overlap
-        reached = shared * (1 + least) >= least * total * (1 - 1e-5)
-        i, j = np.nonzero(reached & (shared * (1 + least) <= least * total * (1 + 1e-5)))
-        both = shared[i, j].astype(np.float64)
-        reached[i, j] = both / (total[i, j].astype(np.float64) - both) >= least
-        return reached
+    def _sizes_meet(sizes: np.ndarray, i: tuple[int, int], j: tuple[int, int], share: float) -> bool:
+        x, y = sizes[slice(*i)], sizes[slice(*j)]
+        return x.max() >= share * y.min() - _EPS and y.max() >= share * x.min() - _EPS
 
     def _near(self, x: np.ndarray, y: np.ndarray, a: int, c: int) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs that share enough characters."""
@@ -457,15 +470,10 @@ class Meeting:
 
     def may_meet(self, i: tuple[int, int], j: tuple[int, int]) -> bool:
         """Do the sizes in two tiles allow a similar pair?"""
-
-        def near(sizes: np.ndarray, share: float) -> bool:
-            x, y = sizes[slice(*i)], sizes[slice(*j)]
-            return x.max() >= share * y.min() - _EPS and y.max() >= share * x.min() - _EPS
-
         s = self.similarity
-        if s.jaccard is not None and near(self.n, s.jaccard):
+        if s.jaccard is not None and self._sizes_meet(self.n, i, j, s.jaccard):
             return True
-        return s.ratio is not None and near(self.chars, s.ratio / (2 - s.ratio))
+        return s.ratio is not None and self._sizes_meet(self.chars, i, j, s.ratio / (2 - s.ratio))
 
 
 def _block_edges(similarity: Similarity, within: bool):
@@ -591,8 +599,8 @@ def similar_edges(
     """
     within = leaders is None
     least = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Few titles are cut into small blocks, so that all tasks get some.
-    most = max(min(BLOCK_ROWS, SMALL_BLOCK), min(BLOCK_ROWS, titles.count() // (4 * least)))
+    # Few titles are cut into small blocks, so that there are some more meetings than tasks.
+    most = max(min(BLOCK_ROWS, SMALL_BLOCK), min(BLOCK_ROWS, int(titles.count() / (5 * math.sqrt(least)))))
     if within:
         left = right = _in_blocks(titles.withColumn("rank", F.col("first_rank")), similarity, most)
     else:

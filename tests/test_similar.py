@@ -72,7 +72,7 @@ def test_tiles_and_sides_lose_no_pair(monkeypatch):
     rank = dict(zip(rows["tk"], rows["rank"]))
     for tile, columns in ((1024, 4096), (32, 64)):
         monkeypatch.setattr(similar, "TILE_ROWS", tile)
-        monkeypatch.setattr(similar, "GRAM_COLUMNS", columns)
+        monkeypatch.setattr(similar, "MOST_COLUMNS", columns)
         for similarity in (SAME_STORY, SAME_EVENT):
             test = Comparison(similarity)
             takes = {(a.encode(), b.encode()) for a in titles for b in titles if a != b and test(a, b)}
